@@ -33,6 +33,11 @@ def union_sql(template: str, names: list[str]) -> str:
     return "\nUNION ALL\n".join(template.format(c=c) for c in names)
 
 
+def decimal_round(expression: str, digits: int) -> str:
+    """SQL that rounds a double by its shortest decimal text, halves up, as Spark does."""
+    return f"CAST(round(CAST(CAST({expression} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
     from sondeo.plans import (  # noqa: F401 - importing registers the queries
         queries_clean,
