@@ -41,7 +41,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def crosstab(df: DataFrame, a: str, b: str, values: list) -> DataFrame:
     """Counts of ``a`` by the named values of ``b``, one column each."""
-    return df.groupBy(a).pivot(b, values).agg(F.count("*")).fillna(0)
+    return df.groupBy(a).pivot(b, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:

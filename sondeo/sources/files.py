@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +16,30 @@ FORMATS = {
     ".csv": ("csv", {"header": True, "nullValue": ""}),
     ".tsv": ("csv", {"header": True, "nullValue": "", "sep": "\t"}),
     ".parquet": ("parquet", {}),
-    ".json": ("json", {"multiLine": True}),
+    ".json": ("json", {}),
     ".jsonl": ("json", {}),
 }
 
 
-def _reader(spark: SparkSession, extension: str, schema: T.StructType | str | None, options: dict):
+def _is_whole_document(spark: SparkSession, path: str) -> bool:
+    """True if a JSON file is one document; line-delimited records stay splittable."""
+    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()
+    if first is None:
+        return False
+    try:
+        return not isinstance(json.loads(first["value"]), dict)
+    except ValueError:
+        return True
+
+
+def _reader(
+    spark: SparkSession, extension: str, path: str, schema: T.StructType | str | None, options: dict
+):
     if extension not in FORMATS:
         raise ValueError(f"Unsupported file format: {extension}")
     fmt, fixed = FORMATS[extension]
+    if fmt == "json" and "multiLine" not in options:
+        fixed = {"multiLine": _is_whole_document(spark, path)}
     reader = spark.read.format(fmt).options(**{**fixed, **options})
     if schema is not None:
         return reader.schema(schema)
@@ -41,7 +57,7 @@ def load(
     Pass ``schema`` for large text files: inference reads them one extra time.
     """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
-    return nan_to_null(_reader(spark, extension, schema, options).load(path))
+    return nan_to_null(_reader(spark, extension, path, schema, options).load(path))
 
 
 def load_directory(
@@ -54,7 +70,7 @@ def load_directory(
 ) -> DataFrame:
     """Read every file below ``path``; ``limit`` keeps a first-n sample when asked for."""
     options = {"recursiveFileLookup": True, "pathGlobFilter": f"*{extension}", **options}
-    df = nan_to_null(_reader(spark, extension, schema, options).load(path))
+    df = nan_to_null(_reader(spark, extension, path, schema, options).load(path))
     return df if limit is None else df.limit(limit)
 
 
@@ -77,7 +93,7 @@ def load_smallest_file(
     first = file_inventory(spark, path, extension).select("path").first()
     if first is None:
         raise ValueError(f"no {extension} file below {path}")
-    df = nan_to_null(_reader(spark, extension, None, options).load(first["path"]))
+    df = nan_to_null(_reader(spark, extension, first["path"], None, options).load(first["path"]))
     return df if limit is None else df.limit(limit)
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondeo.operators.ordering import running_number
 from sondeo.workspace import delete_path, path_exists
 
 CATALOG_SCHEMA = "key string, version bigint, source string, created_at timestamp"
@@ -75,11 +76,7 @@ def read_version(
 
 def keys(spark: SparkSession, base: str) -> DataFrame:
     """One row per key: newest version and when it was stored."""
-    return (
-        catalog(spark, base)
-        .groupBy("key")
-        .agg(F.max("version").alias("version"), F.max("created_at").alias("updated_at"))
-    )
+    return newest_versions(catalog(spark, base), "key", "created_at")
 
 
 def lineage(spark: SparkSession, base: str) -> DataFrame:
@@ -92,8 +89,13 @@ def clear(spark: SparkSession, base: str) -> None:
     delete_path(spark, f"{base}/data")
 
 
-def numbered_versions(log: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Version numbers 1..n per key for a log of writes that carries none yet."""
-    from sondeo.operators.ordering import running_number
+def numbered_versions(log: DataFrame, key: str, order: list[str], span: Column | None = None) -> DataFrame:
+    """Version numbers 1..n per key for a log of writes that carries none yet.
+
+    ``span`` (such as the day of the write) splits the log of a busy key.
+    """
+    return running_number(log, [key], order, "version", span)
+
 
-    return running_number(log, [key], order, "version")
+def newest_versions(log: DataFrame, key: str, stamp: str) -> DataFrame:
+    return log.groupBy(key).agg(F.max("version").alias("version"), F.max(stamp).alias("updated_at"))

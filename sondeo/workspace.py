@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str, *parts: str) -> str:
+    """A folder for this application's own intermediate tables, below the shared folder."""
+    suffix = f"-{zlib.crc32('/'.join(parts).encode()):08x}" if parts else ""
+    return f"{shared_dir(spark)}/sondeo/{spark.sparkContext.applicationId}/{name}{suffix}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so later passes start from files."""
     context = df.sparkSession.sparkContext
