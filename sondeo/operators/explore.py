@@ -2,56 +2,96 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondeo.functions.moments import correlation
 from sondeo.functions.schema import numeric_columns, string_columns
 from sondeo.operators.profile import column_moments, distinct_counts
 from sondeo.operators.quantiles import fit_quantiles, quantile_rows
 from sondeo.workspace import broadcast_if_small
 
-PAIRS_PER_SCAN = 100
+# Wider aggregates outgrow the JIT compiler and run many times slower.
+SUMS_PER_SCAN = 60
 
 
 def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(col_a, col_b, correlation) over pairwise-complete rows; NULL where undefined.
 
-    Pairs are computed in wide aggregates of at most ``PAIRS_PER_SCAN``, each reading
-    only its own columns.
+    Values are centred on the column mean first, so plain sums are precise. A column
+    without gaps needs one sum of squares for all its pairs, and a pair of such columns
+    one sum of products. Scans are column-pruned and never shuffle rows.
     """
-    nullable = _columns_with_gaps(df, sorted({c for pair in pairs for c in pair}))
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        cells = [
-            F.struct(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                F.lit(start + i).alias("pair"),
-                correlation(a, b, complete=not {a, b} & nullable).alias("correlation"),
-            )
-            for i, (a, b) in enumerate(pairs[start : start + PAIRS_PER_SCAN])
-        ]
-        parts.append(df.agg(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
-    if not parts:
-        return df.sparkSession.createDataFrame(
-            [], "col_a string, col_b string, pair int, correlation double"
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    spark = df.sparkSession
+    columns = sorted({c for pair in pairs for c in pair})
+    known = _centres(df, columns)
+    wanted: dict[str, Column] = {}
+    for a, b in pairs:
+        wanted.update(_pair_sums(a, b, known))
+    sums = {}
+    names = list(wanted)
+    for start in range(0, len(names), SUMS_PER_SCAN):
+        chunk = names[start : start + SUMS_PER_SCAN]
+        sums.update(df.agg(*[wanted[n].alias(n) for n in chunk]).first().asDict())
+    rows = [(a, b, i, _correlation_of(a, b, known, sums)) for i, (a, b) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "col_a string, col_b string, pair int, correlation double")
+
+
+def _centres(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Per column: rows, values, mean, and the largest magnitude."""
+    out = {}
+    for start in range(0, len(columns), SUMS_PER_SCAN // 4):
+        chunk = columns[start : start + SUMS_PER_SCAN // 4]
+        aggregates = [F.count("*").alias("rows")]
+        for i, c in enumerate(chunk):
+            value = F.col(c).cast("double")
+            aggregates += [
+                F.count(c).alias(f"n{i}"), F.avg(value).alias(f"m{i}"), F.max(F.abs(value)).alias(f"x{i}"),
+            ]
+        row = df.agg(*aggregates).first()
+        for i, c in enumerate(chunk):
+            out[c] = {"gaps": row[f"n{i}"] < row["rows"], "mean": row[f"m{i}"] or 0.0,
+                      "n": row[f"n{i}"], "scale": row[f"x{i}"] or 0.0}
     return out
 
 
-def _columns_with_gaps(df: DataFrame, columns: list[str]) -> set[str]:
-    if not columns:
-        return set()
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    return {c for c in columns if row[c] > 0}
+def _pair_sums(a: str, b: str, known: dict[str, dict]) -> dict[str, Column]:
+    x = F.col(a).cast("double") - F.lit(known[a]["mean"])
+    y = F.col(b).cast("double") - F.lit(known[b]["mean"])
+    products = {f"xy|{a}|{b}": F.sum(x * y)}
+    if not (known[a]["gaps"] or known[b]["gaps"]):
+        return {**products, f"xx|{a}": F.sum(x * x), f"xx|{b}": F.sum(y * y), f"x|{a}": F.sum(x), f"x|{b}": F.sum(y)}
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return {
+        **products,
+        f"n|{a}|{b}": F.count_if(both),
+        f"x|{a}|{b}": F.sum(x), f"y|{a}|{b}": F.sum(y),
+        f"xx|{a}|{b}": F.sum(x * x), f"yy|{a}|{b}": F.sum(y * y),
+    }
+
+
+def _correlation_of(a: str, b: str, known: dict[str, dict], sums: dict) -> float | None:
+    pair = f"{a}|{b}"
+    if f"n|{pair}" in sums:
+        n = sums[f"n|{pair}"]
+        sx, sy, sxx, syy = (sums[f"{s}|{pair}"] for s in ("x", "y", "xx", "yy"))
+    else:
+        n, sx, sy = known[a]["n"], sums[f"x|{a}"], sums[f"x|{b}"]
+        sxx, syy = sums[f"xx|{a}"], sums[f"xx|{b}"]
+    if not n:
+        return None
+    spread_x, spread_y = sxx - sx * sx / n, syy - sy * sy / n
+    # A column that only varies by rounding of its mean is constant.
+    noise = [n * (1e-13 * known[c]["scale"]) ** 2 for c in (a, b)]
+    if spread_x <= noise[0] or spread_y <= noise[1]:
+        return None
+    r = (sums[f"xy|{pair}"] - sx * sy / n) / math.sqrt(spread_x * spread_y)
+    return max(-1.0, min(1.0, r))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -7,10 +7,9 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.functions.moments import skewness
 from sondeo.functions.schema import numeric_columns, string_columns
 from sondeo.operators.ordering import ordered_codes, running_total
-from sondeo.operators.profile import distinct_counts
+from sondeo.operators.profile import centred_moments, distinct_counts
 from sondeo.workspace import broadcast_if_small
 
 ONE_HOT_MOST = 10
@@ -63,16 +62,8 @@ def skewed_columns(df: DataFrame, columns: list[str], limit: float = 2.0) -> lis
     """Columns without negative values whose skewness passes the limit either way."""
     if not columns:
         return []
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            skewness(F.col(c).cast("double")).alias("skew"),
-            F.min(c).cast("double").alias("low"),
-        )
-        for c in columns
-    ]
-    rows = df.agg(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    kept = rows.where((F.abs("skew") > limit) & (F.col("low") >= 0)).collect()
+    shapes = centred_moments(df, columns)
+    kept = shapes.where((F.abs("skewness") > limit) & (F.col("min") >= 0)).collect()
     found = {r["column"] for r in kept}
     return [c for c in columns if c in found]
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.functions.moments import distribution_label, kurtosis, share, skewness
+from sondeo.functions.moments import distribution_label, share
 from sondeo.functions.schema import numeric_columns, string_columns, type_names, unpivot
 from sondeo.operators.ordering import top_k_per_key
 from sondeo.operators.quantiles import fit_fences, quantile_rows
 
+# Wider aggregates outgrow the JIT compiler and run many times slower.
+COLUMNS_PER_SCAN = 8
+
 
 def _per_column(df: DataFrame, columns: list[str], measures) -> DataFrame:
     """One wide aggregate, turned into one row per column."""
@@ -29,31 +35,83 @@ def missing_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct non-NULL values per column."""
-    return _per_column(
-        df, columns or df.columns, lambda c: [F.count_distinct(c).alias("distinct_values")]
+    """Exact distinct non-NULL values per column.
+
+    Each column is its own pruned branch of one job, so values are combined before the
+    shuffle and no row is multiplied. Meant for columnar sources.
+    """
+    branches = [
+        df.select(F.col(c).alias("_value"))
+        .agg(F.count_distinct("_value").alias("distinct_values"))
+        .select(F.lit(c).alias("column"), "distinct_values")
+        for c in columns or df.columns
+    ]
+    return reduce(DataFrame.unionAll, branches)
+
+
+def centred_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, rows, count, mean, std, min, max, skewness and kurtosis, not rounded.
+
+    Powers are summed around the mean, which a first scan gives: plain sums compile to
+    tight loops, and a wide table is done a few columns per scan.
+    """
+    rows = []
+    for start in range(0, len(columns), COLUMNS_PER_SCAN):
+        chunk = columns[start : start + COLUMNS_PER_SCAN]
+        values = [F.col(c).cast("double") for c in chunk]
+        means = df.agg(*[F.avg(v).alias(str(i)) for i, v in enumerate(values)]).first()
+        sums = [F.count("*").alias("rows")]
+        for i, (c, value) in enumerate(zip(chunk, values)):
+            d = value - F.lit(means[i] or 0.0)
+            sums += [F.count(c).alias(f"n{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
+            sums += [F.sum(p).alias(f"s{k}_{i}") for k, p in enumerate((d, d * d, d * d * d, d * d * d * d), 1)]
+        found = df.agg(*sums).first()
+        for i, c in enumerate(chunk):
+            n, low, high = found[f"n{i}"], found[f"lo{i}"], found[f"hi{i}"]
+            powers = [found[f"s{k}_{i}"] for k in (1, 2, 3, 4)]
+            rows.append((c, found["rows"], n, low, high, *_shape(n, means[i], low, high, powers)))
+    schema = (
+        "column string, rows bigint, count bigint, min double, max double, "
+        "mean double, std double, skewness double, kurtosis double"
     )
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _shape(n: int, centre: float | None, low: float, high: float, powers: list[float]) -> tuple:
+    """Mean, deviation, skewness and kurtosis from power sums around the computed mean.
+
+    The computed mean is off by rounding, which ``shift`` corrects in the higher moments.
+    """
+    if n == 0:
+        return None, None, None, None
+    shift, a2, a3, a4 = (s / n for s in powers)
+    m2 = a2 - shift**2
+    m3 = a3 - 3 * shift * a2 + 2 * shift**3
+    m4 = a4 - 4 * shift * a3 + 6 * shift**2 * a2 - 3 * shift**4
+    if low == high or m2 <= 0:
+        m2, skew, kurt = 0.0, 0.0, 0.0
+    else:
+        skew = m3 / m2**1.5 * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else None
+        kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2**2 - 3) + 6) if n > 3 else None
+    spread = math.sqrt(m2 * n / (n - 1)) if n > 1 else None
+    return centre, spread, skew if n > 2 else None, kurt if n > 3 else None
 
 
 def column_moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Counts and bias-corrected moments of numeric columns, in one scan."""
-
-    def measures(c: str) -> list[Column]:
-        value = F.col(c).cast("double")
-        gaps = F.count_if(F.col(c).isNull())
-        return [
-            F.count(c).alias("count"),
-            gaps.alias("missing"),
-            F.round(F.coalesce(share(gaps, F.count("*")), F.lit(0.0)), 4).alias("missing_pct"),
-            F.round(F.avg(value), 4).alias("mean"),
-            F.round(F.stddev_samp(value), 4).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.round(skewness(value), 4).alias("skewness"),
-            F.round(kurtosis(value), 4).alias("kurtosis"),
-        ]
-
-    return _per_column(df, columns, measures)
+    """Counts and bias-corrected moments of numeric columns, four decimals."""
+    gaps = F.col("rows") - F.col("count")
+    return centred_moments(df, columns).select(
+        "column",
+        "count",
+        gaps.alias("missing"),
+        F.round(F.coalesce(share(gaps, F.col("rows")), F.lit(0.0)), 4).alias("missing_pct"),
+        F.round("mean", 4).alias("mean"),
+        F.round("std", 4).alias("std"),
+        "min",
+        "max",
+        F.round("skewness", 4).alias("skewness"),
+        F.round("kurtosis", 4).alias("kurtosis"),
+    )
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -70,9 +128,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Shape label per column, from the corrected skewness; strings are categorical."""
     numeric = columns or numeric_columns(df)
-    moments = _per_column(
-        df, numeric, lambda c: [F.round(skewness(F.col(c).cast("double")), 4).alias("skewness")]
-    )
+    moments = centred_moments(df, numeric).select("column", F.round("skewness", 4).alias("skewness"))
     labelled = moments.withColumn("distribution", distribution_label(F.col("skewness")))
     if columns is not None or not string_columns(df):
         return labelled
@@ -168,10 +224,7 @@ def data_profile(df: DataFrame) -> DataFrame:
     if numeric:
         parts.append(_long(column_moments(df, numeric), ["mean", "std", "min", "max", "skewness"]))
         parts.append(_long(outlier_counts(df, numeric, positive_spread=True), ["outliers"]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _long(rows: DataFrame, metrics: list[str]) -> DataFrame:
