@@ -13,10 +13,7 @@ from pyspark.sql import types as T
 from sondeo.functions.schema import numeric_columns, string_columns
 from sondeo.operators.profile import column_moments, distinct_counts
 from sondeo.operators.quantiles import fit_quantiles, quantile_rows
-from sondeo.workspace import broadcast_if_small
-
-# Wider aggregates outgrow the JIT compiler and run many times slower.
-SUMS_PER_SCAN = 60
+from sondeo.workspace import aggregate_wide, broadcast_if_small
 
 
 def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -32,31 +29,27 @@ def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     wanted: dict[str, Column] = {}
     for a, b in pairs:
         wanted.update(_pair_sums(a, b, known))
-    sums = {}
-    names = list(wanted)
-    for start in range(0, len(names), SUMS_PER_SCAN):
-        chunk = names[start : start + SUMS_PER_SCAN]
-        sums.update(df.agg(*[wanted[n].alias(n) for n in chunk]).first().asDict())
+    sums = aggregate_wide(df, wanted)
     rows = [(a, b, i, _correlation_of(a, b, known, sums)) for i, (a, b) in enumerate(pairs)]
     return spark.createDataFrame(rows, "col_a string, col_b string, pair int, correlation double")
 
 
 def _centres(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Per column: rows, values, mean, and the largest magnitude."""
-    out = {}
-    for start in range(0, len(columns), SUMS_PER_SCAN // 4):
-        chunk = columns[start : start + SUMS_PER_SCAN // 4]
-        aggregates = [F.count("*").alias("rows")]
-        for i, c in enumerate(chunk):
-            value = F.col(c).cast("double")
-            aggregates += [
-                F.count(c).alias(f"n{i}"), F.avg(value).alias(f"m{i}"), F.max(F.abs(value)).alias(f"x{i}"),
-            ]
-        row = df.agg(*aggregates).first()
-        for i, c in enumerate(chunk):
-            out[c] = {"gaps": row[f"n{i}"] < row["rows"], "mean": row[f"m{i}"] or 0.0,
-                      "n": row[f"n{i}"], "scale": row[f"x{i}"] or 0.0}
-    return out
+    measures = {"rows": F.count("*")}
+    for c in columns:
+        value = F.col(c).cast("double")
+        measures.update({f"n|{c}": F.count(c), f"m|{c}": F.avg(value), f"x|{c}": F.max(F.abs(value))})
+    found = aggregate_wide(df, measures)
+    return {
+        c: {
+            "gaps": found[f"n|{c}"] < found["rows"],
+            "n": found[f"n|{c}"],
+            "mean": found[f"m|{c}"] or 0.0,
+            "scale": found[f"x|{c}"] or 0.0,
+        }
+        for c in columns
+    }
 
 
 def _pair_sums(a: str, b: str, known: dict[str, dict]) -> dict[str, Column]:

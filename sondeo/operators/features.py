@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.functions.schema import numeric_columns, string_columns
 from sondeo.operators.ordering import ordered_codes, running_total
 from sondeo.operators.profile import centred_moments, distinct_counts
-from sondeo.workspace import broadcast_if_small
+from sondeo.workspace import aggregate_wide, broadcast_if_small
 
 ONE_HOT_MOST = 10
 MISSING_CATEGORY = "nan"
@@ -114,10 +112,12 @@ def lineage(spark, features: list[str], originals: list[str]) -> DataFrame:
 
 def fit_scaling(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column (NULL counts as 0); no spread scales by 1."""
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    aggregates = [f(v).alias(f"{n}_{i}") for i, v in enumerate(filled) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    row = df.agg(*aggregates).first()
-    return {c: (row[f"m_{i}"] or 0.0, row[f"s_{i}"] or 1.0) for i, c in enumerate(columns)}
+    measures = {}
+    for c in columns:
+        filled = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        measures.update({("mean", c): F.avg(filled), ("spread", c): F.stddev_pop(filled)})
+    found = aggregate_wide(df, measures)
+    return {c: (found["mean", c] or 0.0, found["spread", c] or 1.0) for c in columns}
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,15 +128,15 @@ def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    aggregates = chain.from_iterable(
-        (F.min(c).cast("double").alias(f"lo_{i}"), F.max(c).cast("double").alias(f"hi_{i}"))
-        for i, c in enumerate(columns)
-    )
-    row = df.agg(*aggregates).first()
-    scaled = {
-        c: F.try_divide(F.col(c) - F.lit(row[f"lo_{i}"]), F.lit(row[f"hi_{i}"]) - F.lit(row[f"lo_{i}"]))
-        for i, c in enumerate(columns)
-    }
+    measures = {}
+    for c in columns:
+        value = F.col(c).cast("double")
+        measures.update({("low", c): F.min(value), ("high", c): F.max(value)})
+    found = aggregate_wide(df, measures)
+    scaled = {}
+    for c in columns:
+        low, high = F.lit(found["low", c]), F.lit(found["high", c])
+        scaled[c] = F.try_divide(F.col(c) - low, high - low)
     return df.withColumns(scaled)
 
 
@@ -165,8 +165,12 @@ def calendar_parts(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantile_bin(value: Column, edges: list[float]) -> Column:
-    """Number of edges below the value; equal values share a bin."""
-    return sum((F.when(value > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
+    """Number of edges below the value; equal values share a bin, NULL has none."""
+    code = F.when(value.isNull(), None)
+    cuts = sorted(set(edges))
+    for i, edge in enumerate(cuts):
+        code = code.when(value <= edge, i)
+    return code.otherwise(len(cuts))
 
 
 def percent_rank(df: DataFrame, column: str, output: str) -> DataFrame:

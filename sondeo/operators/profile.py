@@ -12,15 +12,20 @@ from sondeo.functions.moments import distribution_label, share
 from sondeo.functions.schema import numeric_columns, string_columns, type_names, unpivot
 from sondeo.operators.ordering import top_k_per_key
 from sondeo.operators.quantiles import fit_fences, quantile_rows
+from sondeo.workspace import aggregate_wide
 
-# Wider aggregates outgrow the JIT compiler and run many times slower.
-COLUMNS_PER_SCAN = 8
+# Columns of one wide aggregate; more go to further branches of the same job.
+COLUMNS_PER_SCAN = 30
 
 
 def _per_column(df: DataFrame, columns: list[str], measures) -> DataFrame:
-    """One wide aggregate, turned into one row per column."""
-    cells = [F.struct(F.lit(c).alias("column"), *measures(c)) for c in columns]
-    return df.agg(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    """Wide aggregates without a shuffle of rows, turned into one row per column."""
+    parts = []
+    for start in range(0, len(columns), COLUMNS_PER_SCAN):
+        chunk = columns[start : start + COLUMNS_PER_SCAN]
+        cells = [F.struct(F.lit(c).alias("column"), *measures(c)) for c in chunk]
+        parts.append(df.agg(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def missing_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -55,21 +60,20 @@ def centred_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     Powers are summed around the mean, which a first scan gives: plain sums compile to
     tight loops, and a wide table is done a few columns per scan.
     """
+    values = {c: F.col(c).cast("double") for c in columns}
+    means = aggregate_wide(df, {c: F.avg(v) for c, v in values.items()})
+    measures = {"rows": F.count("*")}
+    for c, value in values.items():
+        d = value - F.lit(means[c] or 0.0)
+        measures.update({f"n|{c}": F.count(c), f"lo|{c}": F.min(value), f"hi|{c}": F.max(value)})
+        powers = (d, d * d, d * d * d, d * d * d * d)
+        measures.update({f"s{k}|{c}": F.sum(p) for k, p in enumerate(powers, 1)})
+    found = aggregate_wide(df, measures)
     rows = []
-    for start in range(0, len(columns), COLUMNS_PER_SCAN):
-        chunk = columns[start : start + COLUMNS_PER_SCAN]
-        values = [F.col(c).cast("double") for c in chunk]
-        means = df.agg(*[F.avg(v).alias(str(i)) for i, v in enumerate(values)]).first()
-        sums = [F.count("*").alias("rows")]
-        for i, (c, value) in enumerate(zip(chunk, values)):
-            d = value - F.lit(means[i] or 0.0)
-            sums += [F.count(c).alias(f"n{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-            sums += [F.sum(p).alias(f"s{k}_{i}") for k, p in enumerate((d, d * d, d * d * d, d * d * d * d), 1)]
-        found = df.agg(*sums).first()
-        for i, c in enumerate(chunk):
-            n, low, high = found[f"n{i}"], found[f"lo{i}"], found[f"hi{i}"]
-            powers = [found[f"s{k}_{i}"] for k in (1, 2, 3, 4)]
-            rows.append((c, found["rows"], n, low, high, *_shape(n, means[i], low, high, powers)))
+    for c in columns:
+        n, low, high = (found[f"{m}|{c}"] for m in ("n", "lo", "hi"))
+        powers = [found[f"s{k}|{c}"] for k in (1, 2, 3, 4)]
+        rows.append((c, found["rows"], n, low, high, *_shape(n, means[c], low, high, powers)))
     schema = (
         "column string, rows bigint, count bigint, min double, max double, "
         "mean double, std double, skewness double, kurtosis double"
@@ -163,28 +167,42 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 3) -> DataFrame:
-    """The first ``k`` distinct values (as text, ascending) of each column."""
-    counts = value_counts(df, columns or df.columns)
-    first = top_k_per_key(counts, ["column"], [F.col("value")], k)
-    return first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    """The ``k`` smallest distinct values of each column, as text.
+
+    One minimum per pass over all columns: ``k`` scans, and nothing is shuffled.
+    """
+    columns = columns or df.columns
+    texts = {c: F.col(c).cast("string") for c in columns}
+    samples: dict[str, list[str]] = {c: [] for c in columns}
+    for _ in range(k):
+        beyond = {
+            c: F.min(F.when(text > samples[c][-1], text) if samples[c] else text)
+            for c, text in texts.items()
+        }
+        for c, value in aggregate_wide(df, beyond).items():
+            if value is None:
+                texts.pop(c)
+            else:
+                samples[c].append(value)
+        if not texts:
+            break
+    return df.sparkSession.createDataFrame(list(samples.items()), "column string, samples array<string>")
 
 
 def schema_summary(df: DataFrame) -> DataFrame:
     """dtype, nullable, distinct count and three sample values per column."""
     types = type_names(df)
     dtype = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
-    counts = value_counts(df, df.columns)
-    distinct = counts.groupBy("column").agg(F.count("*").alias("distinct_values"))
-    samples = sample_values(df)
+    # All three sides hold one row per column of the schema.
     return (
         missing_rates(df)
-        .join(F.broadcast(distinct), "column", "left")
-        .join(F.broadcast(samples), "column", "left")
+        .join(F.broadcast(distinct_counts(df)), "column", "left")
+        .join(F.broadcast(sample_values(df)), "column", "left")
         .select(
             "column",
             F.element_at(dtype, F.col("column")).alias("dtype"),
             (F.col("missing") > 0).cast("int").alias("nullable"),
-            F.coalesce("distinct_values", F.lit(0)).cast("bigint").alias("distinct_values"),
+            "distinct_values",
             F.array_join("samples", "|").alias("samples"),
         )
     )

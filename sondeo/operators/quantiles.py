@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondeo.workspace import broadcast_if_small
+from sondeo.workspace import aggregate_wide, broadcast_if_small
 
 # Rows one task may hold for an exact answer over many groups.
 EXACT_ROWS = 2_000_000
@@ -55,7 +55,7 @@ def fit_series(
         return {}
     names = list(series)
     values = [series[n].cast("double") for n in names]
-    sizes = df.agg(*[F.count(v).alias(str(i)) for i, v in enumerate(values)]).first()
+    sizes = list(aggregate_wide(df, {i: F.count(v) for i, v in enumerate(values)}).values())
     positions = {i: [p * (n - 1) for p in probabilities] for i, n in enumerate(sizes) if n}
     known: dict[tuple[int, int], float] = {}
     # Per series: open intervals (low, high) -> (values below, values inside, wanted ranks).

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -31,13 +32,16 @@ def mutual_information(
         label = quantile_bin(F.col(target), edges[target]).cast("string")
     else:
         label = F.coalesce(F.col(target).cast("string"), F.lit(MISSING_CATEGORY))
-    cells = [
-        F.struct(F.lit(f).alias("feature"), quantile_bin(F.col(f), edges.get(f, [])).alias("bin"))
+    # Each feature is a branch that reads its own column and the target.
+    branches = [
+        filled.select(
+            F.lit(f).alias("feature"), quantile_bin(F.col(f), edges.get(f, [])).alias("bin"), label.alias("label")
+        )
         for f in features
     ]
     joint = (
-        filled.select(label.alias("label"), F.explode(F.array(*cells)).alias("cell"))
-        .groupBy("cell.feature", "cell.bin", "label")
+        reduce(DataFrame.unionAll, branches)
+        .groupBy("feature", "bin", "label")
         .agg(F.count("*").cast("double").alias("n"))
     )
     of_bin, of_label = W.partitionBy("feature", "bin"), W.partitionBy("feature", "label")
@@ -45,8 +49,9 @@ def mutual_information(
     term = F.col("n") / total * F.ln(
         F.col("n") * total / (F.sum("n").over(of_bin) * F.sum("n").over(of_label))
     )
-    terms = joint.withColumn("term", term)
-    return terms.groupBy("feature").agg(F.greatest(F.sum("term"), F.lit(0.0)).alias("mi"))
+    scores = joint.withColumn("term", term).groupBy("feature").agg(F.greatest(F.sum("term"), F.lit(0.0)).alias("mi"))
+    # One row per feature, needed by several later steps.
+    return df.sparkSession.createDataFrame(scores.collect(), "feature string, mi double")
 
 
 def redundant_features(

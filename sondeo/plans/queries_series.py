@@ -29,7 +29,7 @@ def rolling_7d(spark, folder):
         "std_7d": F.stddev_samp("value"),
     }
     rolled = ordering.rolling_by_time(
-        _events(spark, folder), ["user_id"], wall_micros("ts"), 7 * _DAY, measures, pieces=7
+        _events(spark, folder), ["user_id"], wall_micros("ts"), 7 * _DAY, measures
     )
     return rolled.select(
         "event_id", "n_7d", F.round("mean_7d", 9).alias("mean_7d"), "min_7d", "max_7d",

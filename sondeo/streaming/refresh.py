@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sondeo.operators.ordering import top_k_per_key
-from sondeo.workspace import delete_path, is_directory, path_exists
+from sondeo.workspace import broadcast_if_small, delete_path, is_directory, path_exists
 
 KEEP = 24
 INTERVAL = "1 hour"
@@ -72,10 +72,11 @@ def snapshots(spark: SparkSession, table: str) -> DataFrame | None:
 def latest(df: DataFrame, source: str = "source", stamp: str = "snapshot") -> DataFrame:
     """Rows of the newest snapshot of each source.
 
-    The newest stamp per source is a handful of rows; matching it prunes partitions.
+    There is one newest stamp per source; once measured to be small it is broadcast, so
+    rows are matched in place and snapshot folders are pruned.
     """
     newest = df.groupBy(source).agg(F.max(stamp).alias(stamp))
-    return df.join(newest, [source, stamp], "left_semi")
+    return df.join(broadcast_if_small(newest), [source, stamp], "left_semi")
 
 
 def load_latest(spark: SparkSession, table: str, sources: list[str]) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondeo.functions import moments
+from sondeo import workspace
 from sondeo.operators import explore, profile, quantiles
 
 
@@ -41,7 +42,7 @@ def test_correlation_uses_complete_pairs(spark):
 
 
 def test_many_pairs_span_several_scans(spark, monkeypatch):
-    monkeypatch.setattr(explore, "SUMS_PER_SCAN", 5)
+    monkeypatch.setattr(workspace, "MEASURES_PER_SCAN", 5)
     rng = random.Random(1)
     data = [tuple(rng.random() if rng.random() > 0.1 else None for _ in range(4)) for _ in range(200)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double")
