@@ -17,6 +17,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,6 +85,26 @@ def fit_series(
     }
 
 
+def between_cuts(df: DataFrame, column: str, cuts: list[float]) -> tuple[DataFrame, list[int]]:
+    """Non-NULL rows with ``code``, and what each code means.
+
+    Meaning 2k is "below cut k" (and above the one before), 2k + 1 is "equal to cut k".
+    The place of a value is found by binary search.
+    """
+    present = df.where(F.col(column).isNotNull())
+    splits, meanings = [-math.inf], [0]
+    for k, cut in enumerate(cuts):
+        if splits[-1] == cut:
+            splits.pop()
+            meanings.pop()
+        splits += [cut, math.nextafter(cut, math.inf)]
+        meanings += [2 * k + 1, 2 * k + 2]
+    if not cuts:
+        return present.withColumn("code", F.lit(0.0)), meanings
+    bucketizer = Bucketizer(splits=[*splits, math.inf], inputCol=column, outputCol="code")
+    return bucketizer.transform(present), meanings
+
+
 def _between(known: dict[tuple[int, int], float], i: int, position: float) -> float:
     low, high = known[i, math.floor(position)], known[i, math.ceil(position)]
     return low + (high - low) * (position - math.floor(position))
@@ -122,14 +143,12 @@ def _count_between(df: DataFrame, values: list[Column], edges: dict[int, list[fl
     Each series is a branch that reads its own column and keeps only a code per value:
     2k lies below cut k, 2k + 1 equals it. Codes are counted before the shuffle.
     """
-    branches = []
+    branches, codes = [], {}
     for i, cuts in edges.items():
-        code = F.when(values[i].isNull(), None)
-        for k, cut in enumerate(cuts):
-            code = code.when(values[i] < cut, 2 * k).when(values[i] == cut, 2 * k + 1)
-        branches.append(df.select(F.lit(i).alias("series"), code.otherwise(2 * len(cuts)).alias("code")))
-    codes = reduce(DataFrame.unionAll, branches).where("code IS NOT NULL")
-    counted = {(r[0], r[1]): r[2] for r in codes.groupBy("series", "code").count().collect()}
+        coded, codes[i] = between_cuts(df.select(F.lit(i).alias("series"), values[i].alias("value")), "value", cuts)
+        branches.append(coded.select("series", "code"))
+    rows = reduce(DataFrame.unionAll, branches).groupBy("series", "code").count().collect()
+    counted = {(r[0], codes[r[0]][int(r[1])]): r[2] for r in rows}
     found = {}
     for i, cuts in edges.items():
         below = 0
@@ -166,15 +185,16 @@ def _sort_intervals(df: DataFrame, values: list[Column], unsolved: dict) -> dict
     """Ranks read off the sorted values of intervals that hold at most INTERVAL_ROWS."""
     branches, places = [], []
     for i, intervals in unsolved.items():
-        slot = F.when(values[i].isNull(), None)
-        for (low, high), (below, _, ranks) in intervals.items():
-            inside = F.lit(True)
-            inside = inside & (values[i] > low) if math.isfinite(low) else inside
-            inside = inside & (values[i] < high) if math.isfinite(high) else inside
-            slot = slot.when(inside, len(places))
+        if not intervals:
+            continue
+        cuts = sorted({e for bounds in intervals for e in bounds if math.isfinite(e)})
+        slots = {}
+        for (low, _), (below, _, ranks) in intervals.items():
+            slots[2 * (cuts.index(low) + 1) if math.isfinite(low) else 0] = len(places)
             places.append((i, below, sorted(ranks)))
-        if intervals:
-            branches.append(df.select(slot.alias("slot"), values[i].alias("value")))
+        coded, codes = between_cuts(df.select(values[i].alias("value")), "value", cuts)
+        slot_of = F.get(F.array(*[F.lit(slots.get(c)).cast("int") for c in codes]), F.col("code").cast("int"))
+        branches.append(coded.select(slot_of.alias("slot"), "value"))
     if not places:
         return {}
     wanted = F.array(*[F.array(*[F.lit(r - below + 1) for r in ranks]) for _, below, ranks in places])

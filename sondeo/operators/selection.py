@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sondeo.functions.schema import numeric_columns
 from sondeo.operators.explore import correlation_pairs
 from sondeo.operators.features import MISSING_CATEGORY, quantile_bin
-from sondeo.operators.quantiles import fit_quantiles
+from sondeo.operators.quantiles import between_cuts, fit_quantiles
 
 BINS = 10
 
@@ -32,13 +32,14 @@ def mutual_information(
         label = quantile_bin(F.col(target), edges[target]).cast("string")
     else:
         label = F.coalesce(F.col(target).cast("string"), F.lit(MISSING_CATEGORY))
-    # Each feature is a branch that reads its own column and the target.
-    branches = [
-        filled.select(
-            F.lit(f).alias("feature"), quantile_bin(F.col(f), edges.get(f, [])).alias("bin"), label.alias("label")
-        )
-        for f in features
-    ]
+    # Each feature is a branch that reads its own column and the target. A value that
+    # equals an edge shares the bin below it, which codes 2k and 2k + 1 stand for.
+    branches = []
+    for f in features:
+        cells = filled.select(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"), label.alias("label"))
+        coded, meanings = between_cuts(cells, "v", sorted(set(edges.get(f, []))))
+        bin_of = F.get(F.array(*[F.lit(m // 2) for m in meanings]), F.col("code").cast("int"))
+        branches.append(coded.select("feature", bin_of.alias("bin"), "label"))
     joint = (
         reduce(DataFrame.unionAll, branches)
         .groupBy("feature", "bin", "label")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # A side of a join is broadcast only after it was measured to stay below both.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-MEASURES_PER_SCAN = 60
+MEASURES_PER_SCAN = 30
 
 
 def shared_dir(spark: SparkSession) -> str:
