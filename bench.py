@@ -23,7 +23,7 @@ HEADLINE = [
     "json_map_pivot", "disaster_summary", "latest_per_key", "last_k_per_key", "rolling_7d", "lag_features",
     "forward_fill", "version_numbers", "retention", "training_table_build", "analysis_gates",
 ]
-REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
 
 
 def session() -> SparkSession:

@@ -28,7 +28,7 @@ from sondeo.workspace import aggregate_wide, broadcast_if_small
 # Rows one task may hold for an exact answer over many groups.
 EXACT_ROWS = 2_000_000
 # Values of one interval that are sorted together.
-INTERVAL_ROWS = 100_000
+INTERVAL_ROWS = 200_000
 SAMPLE_ROWS = (50_000, 20_000_000)
 SKETCH_ACCURACY = 10_000
 # Series (group and column pairs) that are narrowed in one go.
