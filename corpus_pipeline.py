@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondeo.llm import mixing, sharding
+from sondeo.llm import decontaminate, mixing, ngram_join, quality, sharding
 from sondeo.llm.common import stored
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return docs.where(quality.good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group of near copies."""
+    return ngram_join.representatives(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return docs.where(~decontaminate.leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of the mixture of their sources."""
     return mixing.write_order(mixing.mix(docs))
@@ -18,7 +33,13 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("source mix", mixed), ("sharding", sharded)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", near_unique),
+    ("benchmark decontamination", without_leaks),
+    ("source mix", mixed),
+    ("sharding", sharded),
+]
 
 #: Trained and greedy stages are not SQL; the tests compare them with brute force.
 ORACLE_SQL = None

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeo.llm import chat_views, line_dedup, mixing, sharding, url_filter
+from sondeo.llm import (
+    chat_views,
+    decontaminate,
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    token_counts,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +42,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -54,11 +70,53 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+_SHINGLE_SQL = f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[ \\t\\n\\x0b\\f\\r]+') AS ws FROM documents
+),
+worded AS (SELECT doc_id, [w FOR w IN ws IF w <> ''] AS ws FROM split),
+sets AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS ss
+    FROM worded
+),
+sized AS (SELECT doc_id, len(ss) AS n FROM sets),
+tokens AS (SELECT doc_id, unnest(ss) AS s FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap
+         FROM tokens a JOIN tokens b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+          WHERE 100 * overlap >= 75 * (x.n + y.n - overlap)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS seen FROM sized UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.seen = e.a)
+SELECT doc_id, any_value(n) AS n_shingles, min(seen) AS component_id FROM reached JOIN sized USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query(_SHINGLE_SQL)
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 @query()
 def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "source", "block", "slot", "mix_order")
 
 
+@query()
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, folder, "documents"))
+
+
+@query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"))
+
+
 RULES = [
     ("allow", "org/"),
     ("block", "example.org/es/"),
