@@ -68,41 +68,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     )
     total = np.array([x or 0 for x in groups.agg(*[F.sum(c) for c in _SIZES]).first()], dtype=float)
     total = np.maximum(total, 1)
-    limit = total / (shards * ALONE)
-    alone = (F.col("bytes") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("rows") > limit[2])
+    least = total / (shards * ALONE)
+    alone = (F.col("bytes") > least[0]) | (F.col("tokens") > least[1]) | (F.col("rows") > least[2])
     large = groups.where(alone).orderBy("_g1", "_g2").collect()  # bounded: see ALONE
-    small = groups.where(~alone).groupBy(F.pmod("_g1", F.lit(bundles)).alias("b")).agg(*[F.sum(c).alias(c) for c in _SIZES])
-
-    vectors, owners = [], []  # owner: (bundle, None, 0) or (large group, piece)
-    for r in sorted(small.collect(), key=lambda r: r["b"]):  # at most ``bundles`` rows
-        vectors.append([r[c] for c in _SIZES])
-        owners.append((r["b"], None))
-    pieces, cells = {}, {}
+    pieces, cells, first = {}, {}, {}
+    next_cell = bundles  # cells are numbered through: bundles first, then those of the large groups
     for n, r in enumerate(large):
         share = max(r[c] / t for c, t in zip(_SIZES, total)) * shards
         pieces[n] = 1 if share <= 1 else math.ceil(4 * share)
         cells[n] = pieces[n] * math.ceil(share * ALONE / pieces[n])  # what is numbered together is a small part of a shard
-        for p in range(pieces[n]):
-            vectors.append([r[c] / pieces[n] for c in _SIZES])
-            owners.append((n, p))
-    items = np.array(vectors, dtype=float).reshape(-1, 3) / total
-    chosen = place(items, shards) if len(items) else np.zeros(0, dtype=np.int64)
-
-    # Cells are numbered through: bundles first, then those of the large groups.
-    home, first = {}, {}
-    for (owner, piece), s in zip(owners, chosen):
-        home[(owner, piece)] = int(s)
-    next_cell = bundles
-    for n in range(len(large)):
         first[n] = next_cell
         next_cell += cells[n]
     known = spark.createDataFrame(
         [(r["_g1"], r["_g2"], first[n], cells[n]) for n, r in enumerate(large)],
         "_g1 long, _g2 long, _first long, _cells long",
     )
-    table = [(b, home[(b, None)]) for b, piece in owners if piece is None]
-    table += [(first[n] + c, home[(n, c % pieces[n])]) for n in range(len(large)) for c in range(cells[n])]
-    homes = spark.createDataFrame(table, "_cell long, shard int")
 
     def celled(df: DataFrame, id_column: str) -> DataFrame:
         """With the cell: the bundle, or a piece of a large group by a hash of the id."""
@@ -113,13 +93,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
             .drop("_first", "_cells")
         )
 
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        celled(rows, "_id").groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
-        .join(F.broadcast(homes), "_cell")
-        .select("_cell", "shard", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    )
-    starts = spark.createDataFrame(starts.collect(), "_cell long, shard int, _start long")  # one row per cell: bounded
+    in_cell = celled(rows, "_id").groupBy("_cell").agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens")], F.count(F.lit(1)).alias("rows"))
+    sizes = {r["_cell"]: [r[c] for c in _SIZES] for r in in_cell.collect()}  # one row per cell: bounded
+    owner = {c: c for c in sizes if c < bundles}  # of each cell, the first cell of what is placed with it
+    for n in range(len(large)):
+        owner |= {first[n] + c: first[n] + c % pieces[n] for c in range(cells[n])}
+    placed = sorted(set(owner.values()))
+    index = {o: i for i, o in enumerate(placed)}
+    items = np.zeros((len(placed), 3))
+    for c, size_of in sizes.items():
+        items[index[owner[c]]] += size_of
+    chosen = place(items / total, shards)
+    starts, upto = [], [0] * shards
+    for c in sorted(sizes):
+        home = int(chosen[index[owner[c]]])
+        starts.append((c, home, upto[home]))
+        upto[home] += sizes[c][2]
+    starts = spark.createDataFrame(starts, "_cell long, shard int, _start long")
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy("doc_id", "_g1", "_g2"))
     marked = docs.select(
         *names, *_group(docs), size.alias("size"), F.crc32(_text(docs).cast("binary")).cast("long").alias("text_crc32")
