@@ -9,7 +9,7 @@ components with the R-tree, whose bound drops whole subtrees, and verifies what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 from sondeo.llm.common import stored
 from sondeo.llm.components import components
 from sondeo.llm.hashing import grams, mixed, words
+from sondeo.workspace import broadcast_if_small
 
 WORDS = 5
 #: Similarity as a fraction: 100 * overlap >= 75 * union.
 PERCENT = 75
-GROUPS = 128
+#: A set of n shingles is counted in about n / 4 groups, a power of two within these bounds.
+LEAST_GROUPS, MOST_GROUPS = 32, 4096
 #: Counters of the corpus' shingles; they order shingles by frequency and affect speed, not results.
 COUNTERS = 1 << 18
 LEAF = 16
+#: Rounds in which every point of a cell tries only its nearest neighbours in other components, and how many.
+NEAREST_ROUNDS, NEAREST = 2, 4
 _D1, _D2 = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -57,8 +61,20 @@ def needed(a, b, percent: int = PERCENT):
 
 
 def count_vector(found: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall into each group."""
-    return np.bincount((found >> np.uint64(57)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    """How many shingles of a set fall into each group; the more shingles, the more groups."""
+    groups = min(max(1 << (len(found) // 4).bit_length(), LEAST_GROUPS), MOST_GROUPS)
+    return np.bincount(((found >> np.uint64(40)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector over fewer groups: groups that are alike modulo ``groups`` are one."""
+    return counts.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The sum of the coordinate minima of two count vectors: their sets share no more."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
 class RTree:
@@ -134,8 +150,8 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return total
 
 
-_DEALT = "part int, doc_id long, size long, node long, tokens binary, nodes binary, sizes binary, times binary"
-_FOUND = "kind int, doc_id long, size long, node long, a long, b long, cell binary"
+_DEALT = "part int, doc_id long, size long, node long, counts binary, tokens binary, nodes binary, sizes binary, times binary"
+_FOUND = "kind int, doc_id long, size long, node long, counts binary, a long, b long, cell binary"
 
 
 def _dealt(docs: DataFrame, parts: int, n: int, percent: int) -> DataFrame:
@@ -145,12 +161,13 @@ def _dealt(docs: DataFrame, parts: int, n: int, percent: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, known = order.value, set()
         for batch in batches:
-            sizes, nodes, tokens, owners, own_sizes = [], [], [], [], []
+            sizes, nodes, counts, tokens, owners, own_sizes = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 found = shingles(text.as_py(), n)
                 node = digest(found)
                 sizes.append(len(found))
                 nodes.append(node)
+                counts.append(count_vector(found).tobytes() if node not in known else None)
                 if len(found) and doc_id.is_valid and node not in known:  # a task sends each set once
                     known.add(node)
                     rarest = np.argsort(frequency[(found & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
@@ -163,7 +180,7 @@ def _dealt(docs: DataFrame, parts: int, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((np.array(nodes, dtype=np.int64) % parts).astype(np.int32)), batch.column(0), pa.array(sizes, pa.int64()),
-                    pa.array(nodes, pa.int64()), none, none, none, none,
+                    pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), none, none, none, none,
                 ],
                 names=[c.split()[0] for c in _DEALT.split(", ")],
             )
@@ -188,7 +205,7 @@ def _dealt(docs: DataFrame, parts: int, n: int, percent: int) -> DataFrame:
             empty = pa.nulls(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(columns["part"], pa.int32()), empty, empty, empty,
+                    pa.array(columns["part"], pa.int32()), empty, empty, empty, pa.nulls(rows, pa.binary()),
                     *(pa.array(columns[c], pa.binary()) for c in ("tokens", "nodes", "sizes", "times")),
                 ],
                 names=[c.split()[0] for c in _DEALT.split(", ")],
@@ -197,6 +214,27 @@ def _dealt(docs: DataFrame, parts: int, n: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, _DEALT)
 
 
+def merged_cells(cells: list[np.ndarray]) -> list[np.ndarray]:
+    """Cells as fewer ones that hold every pair of nodes of the given ones.
+
+    A cell of which at least half the nodes are in one cell already joins it; so the many shingles that a group
+    of near copies shares give about one cell. The R-tree's bound deals with the pairs that come in besides.
+    """
+    made: list[set[int]] = []
+    home: dict[int, int] = {}
+    for nodes in sorted({np.sort(c).tobytes() for c in cells}, key=lambda c: (-len(c), c)):
+        nodes = np.frombuffer(nodes, np.int64).tolist()
+        homes = [home[x] for x in nodes if x in home]
+        best = max(set(homes), key=lambda h: (homes.count(h), -h)) if homes else -1
+        if 2 * homes.count(best) < len(nodes):
+            best = len(made)
+            made.append(set())
+        made[best].update(nodes)
+        for x in nodes:
+            home.setdefault(x, best)
+    return [np.array(sorted(m), dtype=np.int64) for m in made]
+
+
 def _cells(percent: int):
     """A part's cells: neighbouring pairs of every cell (kind 1), and the cells of three and more nodes (kind 2)."""
 
@@ -204,14 +242,14 @@ def _cells(percent: int):
         names = [c.split()[0] for c in _FOUND.split(", ")]
 
         def out(kind: int, rows: int, **columns) -> pa.RecordBatch:
-            empty = {c: pa.nulls(rows, pa.int64()) for c in names[1:-1]} | {"cell": pa.nulls(rows, pa.binary())}
+            empty = {c: pa.nulls(rows, pa.int64()) for c in names[1:]} | {c: pa.nulls(rows, pa.binary()) for c in ("counts", "cell")}
             return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(rows, kind, dtype=np.int32))} | empty | columns)
 
         parts = []
         for batch in batches:
             whole = batch.filter(batch.column("tokens").is_null())
             if whole.num_rows:
-                yield out(0, whole.num_rows, doc_id=whole.column("doc_id"), size=whole.column("size"), node=whole.column("node"))
+                yield out(0, whole.num_rows, doc_id=whole.column("doc_id"), size=whole.column("size"), node=whole.column("node"), counts=whole.column("counts"))
             some = batch.filter(batch.column("tokens").is_valid())
             for tokens, nodes, sizes, times in zip(*(some.column(c) for c in ("tokens", "nodes", "sizes", "times"))):
                 times = np.frombuffer(times.as_py(), np.uint32)
@@ -246,7 +284,7 @@ def _cells(percent: int):
         starts = np.flatnonzero(np.concatenate([[True], ~near])) if len(token) else np.zeros(0, dtype=np.int64)
         ends = np.append(starts[1:], len(token))
         wide = np.flatnonzero(ends - starts > 2)
-        cells = list({np.sort(node[starts[i] : ends[i]]).tobytes() for i in wide})
+        cells = [c.tobytes() for c in merged_cells([node[starts[i] : ends[i]] for i in wide])]
         for start in range(0, len(cells), 256):
             yield out(2, len(cells[start : start + 256]), cell=pa.array(cells[start : start + 256], pa.binary()))
 
@@ -254,75 +292,110 @@ def _cells(percent: int):
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(node, size, counts, found) for the given nodes: the sets again from the text of one document each."""
+    """(node, found) for the given nodes: the sets again, from the text of one document each.
+
+    Rows that share an id or are repeated bring a set twice, or one not asked for; links found twice do no harm.
+    """
     one = rows.where(F.col("doc_id").isNotNull()).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(one.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = broadcast_if_small(one.select("doc_id").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), n) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([digest(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([count_vector(f).tobytes() for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()),
-                ],
-                names=["node", "size", "counts", "found"],
-            )
+                [pa.array([digest(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())],
+                names=["node", "found"],
+            )
 
-    # Rows that share an id but not the text bring sets that were not asked for; they do no harm.
-    return stored(texts.select("text").mapInArrow(made, "node long, size long, counts binary, found binary").dropDuplicates(["node"]), "sets")
+    return stored(texts.select("text").mapInArrow(made, "node long, found binary"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: first by the bound on the count vectors, then on the whole sets."""
+def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with a column of both nodes."""
+    a = side.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
+    b = side.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b")
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("counts_a", "counts_b"))
-            least = needed(x.sum(axis=1), y.sum(axis=1), percent)
-            keep = pa.array(np.minimum(x, y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tested(pairs: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs of :func:`_both` that pass a test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(
-                [
-                    similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
-                    for x, y in zip(batch.column("found_a"), batch.column("found_b"))
-                ],
-                pa.bool_(),
-            )
+            keep = pa.array([test(x.as_py(), y.as_py()) for x, y in zip(batch.column("of_a"), batch.column("of_b"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col(column).alias(f"{column}_a"))
-        b = sets.select(F.col("node").alias("b"), F.col(column).alias(f"{column}_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", f"{column}_a", f"{column}_b")
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose count vectors allow them to be similar, stored."""
+
+    def may_be(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)
+        return overlap_bound(x, y) >= needed(int(x.sum()), int(y.sum()), percent)
+
+    return stored(_tested(_both(pairs, points, "counts"), may_be), "pairs")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs that are links by their whole sets, stored."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(docs, nodes, rows, n)
 
-    survivors = with_both(pairs, "counts").mapInArrow(bounded, "a long, b long")
-    return stored(with_both(survivors, "found").mapInArrow(exact, "a long, b long"), "links")
+    def alike(x: bytes, y: bytes) -> bool:
+        return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
+    return stored(_tested(_both(pairs, sets, "found"), alike), "links")
 
-def _searched(cells: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs over component borders that the R-tree of a cell leaves, for the cells with several components."""
+
+def nearest(pairs: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """Of (n, 2) pairs those that are among the ``k`` of the highest relative bound of one of their points."""
+    both = np.concatenate([pairs, pairs[:, ::-1]])
+    order = np.lexsort((both[:, 1], -np.concatenate([bounds, bounds]), both[:, 0]))
+    first = np.flatnonzero(np.concatenate([[True], both[order][1:, 0] != both[order][:-1, 0]]))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return pairs[np.unique(order[rank < k] % len(pairs))]
+
+
+def _searched(cells: DataFrame, points: DataFrame, labels: DataFrame, percent: int, near: int | None = None) -> DataFrame:
+    """Pairs over component borders that the R-tree of a cell leaves, for the cells with several components.
+
+    With ``near`` only the pairs with one of the so many nearest neighbours of a point, by the bound.
+    """
     members = (
         cells.select(F.xxhash64("cell").alias("cell_id"), F.explode("members").alias("node"))
         .join(labels, "node", "left")
         .select("cell_id", "node", F.coalesce("label", "node").alias("label"))
     )
     several = members.groupBy("cell_id").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell_id")
-    points = members.join(several, "cell_id").join(sets.select("node", "size", "counts"), "node")
 
     def searched(table: pa.Table) -> pa.Table:
-        node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "size"))
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        for x, y in RTree(counts, size, label).pairs(percent):
-            found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        counts = [np.frombuffer(c.as_py(), np.int32) for c in table.column("counts")]
+        groups = min(len(c) for c in counts)
+        counts = np.stack([folded(c, groups) for c in counts])
+        sizes = counts.sum(axis=1)
+        found, kept = [np.zeros((0, 2), dtype=np.int64)], 0
+        for x, y in RTree(counts, sizes, label).pairs(percent):
+            found.append(np.column_stack([x, y]))
+            kept += len(x)
+            if near and kept > 1 << 16:  # the nearest so far
+                found, kept = [_nearest_of(np.concatenate(found), counts, sizes, near)], 0
         found = np.concatenate(found)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        if near and len(found):
+            found = _nearest_of(found, counts, sizes, near)
+        a, b = node[found[:, 0]], node[found[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    open_cells = members.join(several, "cell_id").join(points, "node")
+    return open_cells.groupBy("cell_id").applyInArrow(searched, "a long, b long").distinct()
 
-    return points.groupBy("cell_id").applyInArrow(searched, "a long, b long").distinct()
+
+def _nearest_of(pairs: np.ndarray, counts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    x, y = pairs[:, 0], pairs[:, 1]
+    return nearest(pairs, np.minimum(counts[x], counts[y]).sum(axis=1) / (sizes[x] + sizes[y]), k)
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -342,20 +415,26 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         _dealt(docs, parts, n, percent).repartitionById(parts, "part").mapInArrow(_cells(percent), _FOUND), "ngram_cells", "kind"
     )
     rows = found.where("kind = 0").select("doc_id", "size", "node")
+    # Equal sets of different tasks bring equal vectors; one is taken.
+    points = stored(
+        found.where("kind = 0 AND counts IS NOT NULL AND size > 0").groupBy("node").agg(F.first("counts").alias("counts")), "points"
+    )
     near = stored(found.where("kind = 1").select("a", "b").distinct(), "pairs")
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, ends, rows, n)
-    links = _verified(near, sets, percent)
-    labels = stored(components(links), "labels")
+    links = _verified(docs, _bounded(near, points, percent), rows, n, percent)
     cells = found.where("kind = 2").select("cell").distinct()
-    cells = cells.mapInArrow(_listed, "cell binary, members array<long>")
-    rest = _searched(cells, sets, labels, percent).join(near, ["a", "b"], "left_anti")
-    more = _verified(stored(rest, "pairs"), sets, percent)
+    cells = stored(cells.mapInArrow(_listed, "cell binary, members array<long>"), "cells")
+    # Nearest neighbours first join what belongs together, so that few pairs cross components at the end.
+    tried = near
+    for limit in [NEAREST] * NEAREST_ROUNDS + [None]:
+        labels = stored(components(links), "labels")
+        rest = stored(_searched(cells, points, labels, percent, limit).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(docs, rest, rows, n, percent))
+        tried = tried.unionByName(rest)
     # Nodes of one document hang together too.
     owned = rows.where("doc_id IS NOT NULL AND size > 0").select("doc_id", "node")
     first = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     owned = owned.join(first, "doc_id").select("a", F.col("node").alias("b"))
-    links = links.unionByName(more).unionByName(owned.where("a <> b"))
+    links = links.unionByName(owned.where("a <> b"))
     labels = components(links)
     least = rows.where("doc_id IS NOT NULL AND size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     grown = least.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
