@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sondeo.llm.common import stored
 
-#: At most so many labelled rows are fitted on, and so many pseudo-labelled ones join a view in a round.
+#: About so many labelled rows at most are fitted on, and so many pseudo-labelled ones join a view in a round.
 MAX_LABELLED = 20_000
 MAX_PSEUDO = 4_000
 ROUNDS = 2
@@ -138,9 +138,14 @@ def _features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rows.join(known, "doc_id", "left").withColumn("order", F.xxhash64(F.lit(17), "doc_id")), "quality_features")
 
 
-def _sample(rows: DataFrame, bound: int, *columns: str) -> pd.DataFrame:
-    """At most ``bound`` rows, the first by a hash of the id."""
-    return rows.orderBy("order", "content", "metadata").limit(bound).select("order", "content", "metadata", *columns).toPandas()
+def _sample(rows: DataFrame, n: int, bound: int) -> pd.DataFrame:
+    """About ``bound`` of the ``n`` rows at most: those whose hash of the id is below a threshold.
+
+    The rows are picked where they are, so the driver receives the sample and nothing else.
+    """
+    part = min(1.0, bound / max(n, 1))
+    picked = rows.where(F.pmod("order", F.lit(1 << 30)) < int(part * (1 << 30)) + (part == 1.0))
+    return picked.select("order", "content", "metadata", "label").toPandas().sort_values(["order", "content", "metadata"])
 
 
 def _sure(features: DataFrame, view: int, model: Logistic) -> pd.DataFrame:
@@ -156,13 +161,15 @@ def _sure(features: DataFrame, view: int, model: Logistic) -> pd.DataFrame:
 
     open_rows = features.where(F.col("label").isNull()).select("order", "content", "metadata")
     sure = open_rows.mapInArrow(judged, "order long, content binary, metadata binary, label int")
-    halves = [_sample(sure.where(F.col("label") == good), MAX_PSEUDO // 2, "label") for good in (0, 1)]
+    n = {r["label"]: r["n"] for r in sure.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    halves = [_sample(sure.where(F.col("label") == good), n.get(good, 0), MAX_PSEUDO // 2) for good in (0, 1)]
     return pd.concat(halves)
 
 
 def train(features: DataFrame) -> Model | None:
     """The model from :func:`_features`; None without labelled rows of both classes on both sides of the split."""
-    labelled = _sample(features.where(F.col("label").isNotNull()), MAX_LABELLED, "label")
+    labelled = features.where(F.col("label").isNotNull())
+    labelled = _sample(labelled, labelled.count(), MAX_LABELLED)
     held = labelled.order.to_numpy() % HELD_OUT == 0
     y = labelled.label.to_numpy().astype(float)
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
@@ -188,7 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -
     """(doc_id, p_content, p_metadata, score, keep) for every row of ``docs``.
 
     ``labels`` has (doc_id, quality 0/1); several labels of a document count as their least. The models are fitted
-    on at most ``MAX_LABELLED`` labelled rows, taken by hash, plus ``MAX_PSEUDO`` pseudo-labelled rows a view and
+    on about ``MAX_LABELLED`` labelled rows at most, taken by hash, plus ``MAX_PSEUDO`` pseudo-labelled rows a view and
     round; scoring covers every row. ``keep`` says that ``score``, the probability of good quality, is at least
     ``min_score``.
 
