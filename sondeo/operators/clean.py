@@ -140,7 +140,10 @@ def impute_group_median(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 
 def zscore_outliers(df: DataFrame, columns: list[str], limit: float = 3.0) -> DataFrame:
-    """Values further than ``limit`` sample deviations from the mean, counted per column."""
+    """Values further than ``limit`` sample deviations from the mean, counted per column.
+
+    A column without spread has no row.
+    """
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
@@ -157,7 +160,9 @@ def zscore_outliers(df: DataFrame, columns: list[str], limit: float = 3.0) -> Da
             for c, r in fitted.items()
             if r["s"]
         ]
-    )
+    ) if any(r["s"] for r in fitted.values()) else None
+    if counts is None:
+        return df.sparkSession.createDataFrame([], "column string, outliers long")
     return df.agg(F.explode(counts).alias("x")).select("x.*")
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,78 +18,76 @@ from pyspark.sql import types as T
 from sondeo.functions.schema import numeric_columns, string_columns
 from sondeo.operators.profile import column_moments, distinct_counts
 from sondeo.operators.quantiles import fit_quantiles, quantile_rows
-from sondeo.workspace import aggregate_wide, broadcast_if_small
+from sondeo.workspace import broadcast_if_small
 
 
 def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(col_a, col_b, correlation) over pairwise-complete rows; NULL where undefined.
 
-    Values are centred on the column mean first, so plain sums are precise. A column
-    without gaps needs one sum of squares for all its pairs, and a pair of such columns
-    one sum of products. Scans are column-pruned and never shuffle rows.
+    Two scans, whatever the number of columns. The first finds means, the second the Gram
+    matrix of a vector per row: centred values, their squares, and presence flags of the
+    columns with gaps. All pairwise-complete sums are entries of that matrix.
     """
-    spark = df.sparkSession
     columns = sorted({c for pair in pairs for c in pair})
-    known = _centres(df, columns)
-    wanted: dict[str, Column] = {}
-    for a, b in pairs:
-        wanted.update(_pair_sums(a, b, known))
-    sums = aggregate_wide(df, wanted)
-    rows = [(a, b, i, _correlation_of(a, b, known, sums)) for i, (a, b) in enumerate(pairs)]
-    return spark.createDataFrame(rows, "col_a string, col_b string, pair int, correlation double")
+    known = _centres(df, columns) if columns else {}
+    gram, at = _gram(df, columns, known) if known else (None, {})
+    rows = [(a, b, i, _correlation_of(a, b, known, gram, at)) for i, (a, b) in enumerate(pairs)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, pair int, correlation double")
+
+
+def _vector(df: DataFrame, parts: list[Column]) -> DataFrame:
+    return df.select(array_to_vector(F.array(*parts)).alias("v"))
 
 
 def _centres(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per column: rows, values, mean, and the largest magnitude."""
-    measures = {"rows": F.count("*")}
-    for c in columns:
-        value = F.col(c).cast("double")
-        measures.update({f"n|{c}": F.count(c), f"m|{c}": F.avg(value), f"x|{c}": F.max(F.abs(value))})
-    found = aggregate_wide(df, measures)
+    """Per column: values, mean, and the largest magnitude; nothing for an empty table."""
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    present = [F.col(c).isNotNull().cast("double") for c in columns]
+    summary = Summarizer.metrics("count", "sum", "max").summary(F.col("v"))
+    found = _vector(df, [*values, *present, *map(F.abs, values)]).agg(summary.alias("s")).select("s.*").first()
+    if not found or not found["count"]:
+        return {}
+    k, sums, largest = len(columns), found["sum"].toArray(), found["max"].toArray()
     return {
         c: {
-            "gaps": found[f"n|{c}"] < found["rows"],
-            "n": found[f"n|{c}"],
-            "mean": found[f"m|{c}"] or 0.0,
-            "scale": found[f"x|{c}"] or 0.0,
+            "gaps": sums[k + i] < found["count"],
+            "n": int(sums[k + i]),
+            "mean": float(sums[i] / sums[k + i]) if sums[k + i] else 0.0,
+            "scale": float(largest[2 * k + i]),
         }
-        for c in columns
+        for i, c in enumerate(columns)
     }
 
 
-def _pair_sums(a: str, b: str, known: dict[str, dict]) -> dict[str, Column]:
-    x = F.col(a).cast("double") - F.lit(known[a]["mean"])
-    y = F.col(b).cast("double") - F.lit(known[b]["mean"])
-    products = {f"xy|{a}|{b}": F.sum(x * y)}
-    if not (known[a]["gaps"] or known[b]["gaps"]):
-        return {**products, f"xx|{a}": F.sum(x * x), f"xx|{b}": F.sum(y * y), f"x|{a}": F.sum(x), f"x|{b}": F.sum(y)}
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    return {
-        **products,
-        f"n|{a}|{b}": F.count_if(both),
-        f"x|{a}|{b}": F.sum(x), f"y|{a}|{b}": F.sum(y),
-        f"xx|{a}|{b}": F.sum(x * x), f"yy|{a}|{b}": F.sum(y * y),
-    }
+def _gram(df: DataFrame, columns: list[str], known: dict[str, dict]) -> tuple[np.ndarray, dict[tuple, int]]:
+    """The Gram matrix and the place in it of each column's value, square and presence, and of the constant 1."""
+    parts: dict[tuple, Column] = {("one",): F.lit(1.0)}
+    for c in columns:
+        centred = F.coalesce(F.col(c).cast("double") - F.lit(known[c]["mean"]), F.lit(0.0))
+        parts |= {("value", c): centred, ("square", c): centred * centred}
+        if known[c]["gaps"]:
+            parts["present", c] = F.col(c).isNotNull().cast("double")
+    rows = MLUtils.convertVectorColumnsFromML(_vector(df, list(parts.values())), "v")
+    return RowMatrix(rows).computeGramianMatrix().toArray(), {name: i for i, name in enumerate(parts)}
 
 
-def _correlation_of(a: str, b: str, known: dict[str, dict], sums: dict) -> float | None:
-    pair = f"{a}|{b}"
-    if f"n|{pair}" in sums:
-        n = sums[f"n|{pair}"]
-        sx, sy, sxx, syy = (sums[f"{s}|{pair}"] for s in ("x", "y", "xx", "yy"))
-    else:
-        n, sx, sy = known[a]["n"], sums[f"x|{a}"], sums[f"x|{b}"]
-        sxx, syy = sums[f"xx|{a}"], sums[f"xx|{b}"]
+def _correlation_of(a: str, b: str, known: dict[str, dict], gram: np.ndarray | None, at: dict[tuple, int]) -> float | None:
+    if gram is None:
+        return None
+    here = {c: at.get(("present", c), at["one",]) for c in (a, b)}
+    x, y = at["value", a], at["value", b]
+    n = gram[here[a], here[b]]
     if not n:
         return None
-    spread_x, spread_y = sxx - sx * sx / n, syy - sy * sy / n
+    sx, sy = gram[x, here[b]], gram[here[a], y]
+    spread_x = gram[at["square", a], here[b]] - sx * sx / n
+    spread_y = gram[here[a], at["square", b]] - sy * sy / n
     # A column that only varies by rounding of its mean is constant.
     noise = [n * (1e-13 * known[c]["scale"]) ** 2 for c in (a, b)]
     if spread_x <= noise[0] or spread_y <= noise[1]:
         return None
-    r = (sums[f"xy|{pair}"] - sx * sy / n) / math.sqrt(spread_x * spread_y)
-    return max(-1.0, min(1.0, r))
+    r = (gram[x, y] - sx * sy / n) / math.sqrt(spread_x * spread_y)
+    return float(max(-1.0, min(1.0, r)))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

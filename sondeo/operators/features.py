@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondeo.functions.schema import numeric_columns, string_columns
@@ -22,15 +24,28 @@ def encoding_plan(df: DataFrame, columns: list[str]) -> dict[str, str]:
     }
 
 
+def _category(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(MISSING_CATEGORY))
+
+
 def label_encode(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
     """Codes 0.. in lexical order; NULL counts as the category ``nan``."""
-    output = output or column
-    key = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_CATEGORY))
-    keyed = df.withColumn("_category", key)
-    codes = ordered_codes(keyed, "_category").withColumnRenamed("code", "_code")
-    joined = keyed.join(broadcast_if_small(codes), "_category")
-    names = df.columns if output in df.columns else [*df.columns, output]
-    return joined.select(*[F.col("_code").alias(n) if n == output else F.col(n) for n in names])
+    return label_encode_all(df, {column: output or column})
+
+
+def label_encode_all(df: DataFrame, outputs: dict[str, str]) -> DataFrame:
+    """Lexical codes of several columns (column -> output): one join a column, whatever their number.
+
+    The codes of every column come from the input frame, not from a frame that already holds joins.
+    """
+    names = [*df.columns, *[o for o in outputs.values() if o not in df.columns]]
+    keyed = df.withColumns({f"_category_{i}": _category(c) for i, c in enumerate(outputs)})
+    for i, column in enumerate(outputs):
+        values = df.select(_category(column).alias(f"_category_{i}"))
+        codes = ordered_codes(values, f"_category_{i}").withColumnRenamed("code", f"_code_{i}")
+        keyed = keyed.join(broadcast_if_small(codes), f"_category_{i}")
+    code_of = {output: f"_code_{i}" for i, output in enumerate(outputs.values())}
+    return keyed.select(*[F.col(code_of.get(n, n)).alias(n) for n in names])
 
 
 def one_hot(df: DataFrame, column: str) -> DataFrame:
@@ -46,14 +61,22 @@ def one_hot(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns(flags).drop(column)
 
 
-def encode(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Encode every string column but the target by its cardinality."""
-    columns = string_columns(df, [target] if target else [])
-    if not columns:
-        return df
-    for column, how in encoding_plan(df, columns).items():
-        df = label_encode(df, column) if how == "label" else one_hot(df, column)
-    return df
+def encode(df: DataFrame, target: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Encode every string column but the target and the keys by its cardinality."""
+    columns = string_columns(df, [*keys, *([target] if target else [])])
+    return _encoded(df, encoding_plan(df, columns))[0] if columns else df
+
+
+def _encoded(df: DataFrame, plan: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """The encoded frame, and the column that each new feature comes from."""
+    labels = [c for c, how in plan.items() if how == "label"]
+    df = label_encode_all(df, {c: c for c in labels}) if labels else df
+    made = {c: c for c in labels}
+    for column in [c for c, how in plan.items() if how != "label"]:
+        before = set(df.columns)
+        df = one_hot(df, column)
+        made |= {c: column for c in df.columns if c not in before}
+    return df, made
 
 
 def skewed_columns(df: DataFrame, columns: list[str], limit: float = 2.0) -> list[str]:
@@ -83,31 +106,32 @@ def add_interactions(df: DataFrame, pairs: list[tuple[str, str]], most: int = 3)
     return df.withColumns(products) if products else df
 
 
-def transform(df: DataFrame, target: str, pairs: list[tuple[str, str]] = ()) -> DataFrame:
-    """Encode, add logs of skewed columns, add interactions, then fill gaps with 0."""
-    encoded = encode(df, target)
-    logged = log_skewed(encoded, numeric_columns(encoded, [target]))
+def transform(df: DataFrame, target: str, pairs: Sequence[tuple[str, str]] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Encode, add logs of skewed columns, add interactions, then fill gaps with 0; keys stay as they are."""
+    return transform_with_origins(df, target, pairs, keys)[0]
+
+
+def transform_with_origins(
+    df: DataFrame, target: str, pairs: Sequence[tuple[str, str]] = (), keys: Sequence[str] = ()
+) -> tuple[DataFrame, dict[str, str]]:
+    """:func:`transform`, and for each feature where it comes from, noted as it is made."""
+    kept = [target, *keys]
+    origins = {c: f"original:{c}" for c in numeric_columns(df, kept)}
+    plan = encoding_plan(df, string_columns(df, kept)) if string_columns(df, kept) else {}
+    encoded, made = _encoded(df, plan)
+    origins |= {f: f"encoded:{c}" for f, c in made.items()}
+    skewed = skewed_columns(encoded, numeric_columns(encoded, kept))
+    logged = add_logs(encoded, skewed)
+    origins |= {f"log_{c}": f"log_transform:{c}" for c in skewed}
     combined = add_interactions(logged, list(pairs))
-    return combined.fillna(0, subset=numeric_columns(combined, [target]))
-
-
-def lineage(spark, features: list[str], originals: list[str]) -> DataFrame:
-    """(feature, origin) rows; an original name wins over a derived pattern."""
-    name = F.col("feature")
-    parts = F.split(name, "_x_")
-    underscores = F.length(name) - F.length(F.replace(name, F.lit("_"), F.lit("")))
-    origin = (
-        F.when(name.isin(originals), F.concat(F.lit("original:"), name))
-        .when(name.startswith("log_"), F.concat(F.lit("log_transform:"), F.substr(name, F.lit(5))))
-        .when(
-            name.contains("_x_"),
-            F.concat(F.lit("interaction:"), F.get(parts, F.lit(0)), F.lit("*"), F.get(parts, F.lit(1))),
-        )
-        .when(name.contains("__") | (underscores > 1), F.concat(F.lit("encoded:"), name))
-        .otherwise(F.concat(F.lit("derived:"), name))
-    )
-    frame = spark.createDataFrame([(f,) for f in features], "feature string")
-    return frame.withColumn("origin", origin)
+    origins |= {f"{a}_x_{b}": f"interaction:{a}*{b}" for a, b in pairs if f"{a}_x_{b}" in combined.columns}
+    return combined.fillna(0, subset=numeric_columns(combined, kept)), origins
+
+
+def lineage(spark: SparkSession, origins: dict[str, str], selected: Sequence[str] | None = None) -> DataFrame:
+    """(feature, origin) rows of the features, or of the selected ones."""
+    rows = [(f, o) for f, o in origins.items() if selected is None or f in selected]
+    return spark.createDataFrame(rows, "feature string, origin string")
 
 
 def fit_scaling(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

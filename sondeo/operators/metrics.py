@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondeo.operators.ordering import running_total
+from sondeo.workspace import cut_lineage
 
 MOST_CLASSES = 1000
 
@@ -72,13 +73,14 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
 def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve (ties count half); NULL with a single class.
 
-    Rows collapse to counts per distinct score before anything is ordered.
+    Rows collapse to counts per distinct score before anything is ordered; the counts are
+    written once, as several passes read them. A NULL score ranks below all others.
     """
     by = by or []
     groups = df.groupBy(*by, score).agg(
         F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n")
     )
-    ranked = running_total(groups, score, {"_below": "_n"}, by)
+    ranked = running_total(cut_lineage(groups), score, {"_below": "_n"}, by)
     wins = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
     pairs = F.sum("_p").cast("double") * F.sum("_n").cast("double")
     sized = [F.try_divide(wins, pairs).alias("roc_auc"), F.sum("_p").alias("positives")]

@@ -128,16 +128,23 @@ class TrainingData:
     classes: list[str] = field(default_factory=list)
 
 
-def prepare(df: DataFrame, target: str, key: str, task: str, features: list[str] | None = None) -> TrainingData:
+def prepare(
+    df: DataFrame, target: str, keys: str | list[str], task: str, features: list[str] | None = None
+) -> TrainingData:
     """Encode strings, fill gaps with 0, scale, label and deal rows into folds.
 
-    Every model and fold scans the result again, so it is written out once.
+    ``keys`` identify rows and are never features; the first orders the folds. Only the
+    given ``features`` are trained on, by default all columns. Scaling is fitted on all
+    rows, before the folds. Every model and fold scans the result again, so it is written
+    out once.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    key = keys[0]
     kept = df.where(F.col(target).isNotNull()) if task == REGRESSION else df
-    if features:
-        kept = kept.select(*dict.fromkeys([key, target, *features]))
-    encoded = encode(kept.withColumnRenamed(target, "_target"), "_target")
-    names = numeric_columns(encoded, [key, "_target"])
+    if features is not None:
+        kept = kept.select(*dict.fromkeys([*keys, target, *features]))
+    encoded = encode(kept.withColumnRenamed(target, "_target"), "_target", keys)
+    names = numeric_columns(encoded, [*keys, "_target"])
     scaled = standard_scale(encoded, names)
     classes: list[str] = []
     if task == CLASSIFICATION:
@@ -183,14 +190,17 @@ def score(model: Model, rows: DataFrame, data: TrainingData) -> float | None:
     return metrics.roc_auc_one_vs_rest(scored, "label", "scores", order).first()["roc_auc"]
 
 
-def cross_validate(data: TrainingData, name: str, params: dict, parallelism: int = 2) -> list[tuple[int, float, float]]:
-    """(fold, held-out score, training score); folds are fitted by concurrent jobs."""
+def cross_validate(
+    data: TrainingData, name: str, params: dict, parallelism: int = 2, with_training: bool = True
+) -> list[tuple[int, float | None, float | None]]:
+    """(fold, held-out score, training score if asked for); folds are fitted by concurrent jobs."""
     estimator = build_estimator(name, params, data.n, len(data.classes))
 
     def one(fold: int) -> tuple[int, float, float]:
         train = data.rows.where(F.col("fold") != fold)
         model = estimator.fit(train)
-        return fold, score(model, data.rows.where(F.col("fold") == fold), data), score(model, train, data)
+        held_out = score(model, data.rows.where(F.col("fold") == fold), data)
+        return fold, held_out, score(model, train, data) if with_training else None
 
     with ThreadPool(parallelism) as pool:
         return pool.map(one, range(FOLDS))
@@ -277,7 +287,7 @@ def tune(data: TrainingData, name: str, trials: int = 30, seed: int = SEED, para
     best, best_mean = dict(DEFAULTS[name]), -math.inf
     for _ in range(trials):
         params = {**DEFAULTS[name], **draw_params(name, rng)}
-        scores = [s for _, s, _ in cross_validate(data, name, params, parallelism) if s is not None]
+        scores = [s for _, s, _ in cross_validate(data, name, params, parallelism, False) if s is not None]
         mean = sum(scores) / len(scores) if scores else -math.inf
         if mean > best_mean:
             best, best_mean = params, mean
@@ -289,22 +299,24 @@ def compete(
 ) -> tuple[TrainedModel, DataFrame]:
     """Train the candidates, rank them by fold mean, tune the best if ``trials`` are given.
 
-    A candidate that fails is left out. The tuned model is adopted only if it is better.
+    The tuned model is adopted only if it is better. A candidate that fails stays in the
+    ranking, after the others, without scores and with the reason in ``error``.
     """
-    trained = []
+    trained, failed = [], []
     for name in names or candidates(data.task):
         try:
             trained.append(train(data, name, params))
-        except Exception:  # noqa: BLE001 - one failing candidate must not end the contest
-            continue
+        except Exception as reason:  # noqa: BLE001 - one failing candidate must not end the contest
+            failed.append((name, None, None, f"{type(reason).__name__}: {reason}"[:300]))
     if not trained:
-        raise ValueError("All model candidates failed to train!")
+        raise ValueError(f"no candidate could be trained: {failed}")
     champion = max(trained, key=lambda t: t.cv_mean)
     if trials:
         tuned = tune(data, champion.name, trials)
         champion = tuned if tuned.cv_mean > champion.cv_mean else champion
     summary = data.rows.sparkSession.createDataFrame(
-        [(t.name, t.cv_mean, t.cv_std) for t in trained], "model string, cv_mean double, cv_std double"
+        [*[(t.name, t.cv_mean, t.cv_std, None) for t in trained], *failed],
+        "model string, cv_mean double, cv_std double, error string",
     )
     return champion, metrics.ranked_models(summary)
 

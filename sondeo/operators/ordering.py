@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondeo.workspace import broadcast_if_small, cut_lineage
+from sondeo.workspace import broadcast_if_small, cut_lineage, null_safe_join
 
 ROWS_PER_SPAN = 500_000
 
@@ -62,8 +62,8 @@ def running_number(
     """Consecutive numbers 1..n per key.
 
     ``span`` must not decrease along ``order`` (such as the day of an ordering
-    timestamp). Each span is numbered on its own and shifted by the rows before it.
-    Keys must not be NULL when a span is given.
+    timestamp). Each span is numbered on its own and shifted by the rows before it. NULL
+    keys are one key and NULL spans the first one, as they are without spans.
     """
     if span is None:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*_columns(order))))
@@ -71,7 +71,7 @@ def running_number(
     offsets = _span_offsets(spanned, keys)
     window = W.partitionBy(*keys, "_span").orderBy(*_columns(order))
     return (
-        spanned.join(offsets, [*keys, "_span"])
+        null_safe_join(spanned, offsets, [*keys, "_span"])
         .withColumn(name, F.row_number().over(window) + F.col("_offset"))
         .select(*df.columns, name)
     )
@@ -165,7 +165,8 @@ def forward_filled(
 ) -> DataFrame:
     """NULLs take the last earlier non-NULL value of the key.
 
-    Only the last value of each (key, span) crosses span borders.
+    Only the last value of each (key, span) crosses span borders. NULL keys are one key;
+    rows with a NULL order come first, in the order of ``tie``.
     """
     spanned = df.withColumn("_span", span)
     rank = F.struct(order, *(tie or []))
@@ -184,7 +185,7 @@ def forward_filled(
     filled = {
         c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{c}")) for c in columns
     }
-    return spanned.join(carried, [*keys, "_span"]).withColumns(filled).select(*df.columns)
+    return null_safe_join(spanned, carried, [*keys, "_span"]).withColumns(filled).select(*df.columns)
 
 
 def lagged(
@@ -203,19 +204,19 @@ def lagged(
     """
     numbered = running_number(df, keys, order, "_position", span)
     sends = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("k"), (F.col("_position") + k).alias("to")) for k in [0, *offsets]])
+        F.array(*[F.struct(F.lit(k).alias("_k"), (F.col("_position") + k).alias("_to")) for k in [0, *offsets]])
     )
-    sent = numbered.select(*keys, row_id, column, sends.alias("s")).select(*keys, row_id, column, "s.*")
-    own = F.col("k") == 0
+    sent = numbered.select(*keys, row_id, column, sends.alias("_s")).select(*keys, row_id, column, "_s.*")
+    own = F.col("_k") == 0
     return (
-        sent.groupBy(*keys, "to")
+        sent.groupBy(*keys, "_to")
         .agg(
             F.max(F.when(own, F.col(row_id))).alias(row_id),
             F.max(F.when(own, F.col(column))).alias(column),
-            *[F.max(F.when(F.col("k") == k, F.col(column))).alias(f"{column}_lag_{k}") for k in offsets],
+            *[F.max(F.when(F.col("_k") == k, F.col(column))).alias(f"{column}_lag_{k}") for k in offsets],
         )
         .where(F.col(row_id).isNotNull())
-        .drop("to")
+        .drop("_to")
     )
 
 
@@ -262,6 +263,7 @@ def running_total(
     cuts = df.approxQuantile(order, [i / spans for i in range(1, spans)], 0.25 / spans)
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cut = Bucketizer(splits=edges, inputCol=order, outputCol="_span", handleInvalid="keep").transform(df)
+    cut = cut.withColumn("_span", F.when(F.col(order).isNull(), F.lit(-1.0)).otherwise(F.col("_span")))
     sums = cut.groupBy(*by, "_span").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in totals.items()])
     earlier = everything.orderBy("_span").rowsBetween(*before)
     offsets = sums.select(
@@ -271,7 +273,7 @@ def running_total(
     )
     within = W.partitionBy(*by, "_span").orderBy(order).rowsBetween(*before)
     return (
-        cut.join(broadcast_if_small(offsets), [*by, "_span"])
+        null_safe_join(cut, broadcast_if_small(offsets), [*by, "_span"])
         .withColumns(
             {n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_o_{n}") for n, c in totals.items()}
         )

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondeo.workspace import aggregate_wide, broadcast_if_small
+from sondeo.workspace import aggregate_wide, broadcast_if_small, null_safe_join
 
 # Rows one task may hold for an exact answer over many groups.
 EXACT_ROWS = 2_000_000
@@ -271,7 +271,7 @@ def _sliced(df: DataFrame, columns: list[str], probabilities: list[float], by: l
         (F.when(F.col("value") > F.get("cuts", F.lit(i)), 1).otherwise(0) for i in range(len(edges))),
         F.lit(0),
     )
-    sliced = long.join(known, keys).select(*keys, "value", slice_of.alias("slice"))
+    sliced = null_safe_join(long, known, keys).select(*keys, "value", slice_of.alias("slice"))
 
     earlier = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     sizes = (
@@ -284,26 +284,26 @@ def _sliced(df: DataFrame, columns: list[str], probabilities: list[float], by: l
     )
     wanted = sketch.select(*keys, F.explode(F.array_distinct(ranks)).alias("rank"))
     needed = (
-        wanted.join(sizes, keys)
+        null_safe_join(wanted, sizes, keys)
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
         .select(*keys, "slice", "rank", "before")
     )
     slices = needed.select(*keys, "slice").distinct()
     within = W.partitionBy(*keys, "slice").orderBy("value")
     ordered = (
-        sliced.join(broadcast_if_small(slices), [*keys, "slice"], "left_semi")
+        null_safe_join(sliced, broadcast_if_small(slices), [*keys, "slice"], "left_semi")
         .groupBy(*keys, "slice", "value")
         .agg(F.count("*").alias("copies"))
         .withColumn("upto", F.sum("copies").over(within))
     )
-    found = ordered.join(needed, [*keys, "slice"]).where(
+    found = null_safe_join(ordered, needed, [*keys, "slice"]).where(
         (F.col("rank") < F.col("before") + F.col("upto"))
         & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("copies"))
     )
     by_rank = found.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
     )
-    return by_rank.join(sketch.select(*keys, "n"), keys).select(
+    return null_safe_join(by_rank, sketch.select(*keys, "n"), keys).select(
         *keys, "n", F.array(*[_interpolated(p) for p in probabilities]).alias("quantiles")
     )
 

@@ -22,17 +22,17 @@ class Analysis:
     features: DataFrame
     selected: DataFrame
     gates: DataFrame
+    lineage: DataFrame
     model: models.TrainedModel | None = None
     ranking: DataFrame | None = None
     recommendations: DataFrame | None = None
 
 
-def engineered(cleaned: DataFrame, target: str, keys: list[str]) -> DataFrame:
-    """Features of the cleaned table with interactions of its strongest pairs."""
-    usable = cleaned.drop(*keys)
-    strongest = explore.high_correlations(usable, numeric_columns(usable, [target])).limit(3)
+def engineered(cleaned: DataFrame, target: str, keys: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Features of the cleaned table with interactions of its strongest pairs, and their origins."""
+    strongest = explore.high_correlations(cleaned, numeric_columns(cleaned, [target, *keys])).limit(3)
     pairs = [(r["col_a"], r["col_b"]) for r in strongest.collect()]
-    return features.transform(usable, target, pairs)
+    return features.transform_with_origins(cleaned, target, pairs, keys)
 
 
 def analyse(
@@ -47,7 +47,8 @@ def analyse(
     """Profile, clean, explore, build and select features, check gates; optionally model.
 
     Key columns identify rows and are never imputed, capped or used as features; the
-    first one orders the folds. The cleaned table is written once, since every later
+    first one orders the folds. Models are trained on the selected features of the engineered
+    table. The cleaned table is written once, since every later
     stage scans it.
     """
     profiled = profile.data_profile(raw)
@@ -55,19 +56,22 @@ def analyse(
     cleaned = cut_lineage(cleaned)
     usable = cleaned.drop(*keys)
     found = explore.findings(usable, target)
-    built = cut_lineage(engineered(cleaned, target, keys))
+    built, origins = engineered(cleaned, target, keys)
+    built = cut_lineage(built)
     continuous = task == models.REGRESSION
-    chosen = selection.select_features(built, target, continuous_target=continuous)
+    chosen = selection.select_features(built.drop(*keys), target, continuous_target=continuous)
+    names = [r["feature"] for r in chosen.orderBy("rank").collect()]
+    lineage = features.lineage(raw.sparkSession, origins, names)
     checks = (
         gates.collection_gate(raw)
         .unionByName(gates.cleaning_gate(cleaned, raw))
         .unionByName(gates.exploration_gate(found))
         .unionByName(gates.feature_gate(chosen))
     )
-    result = Analysis(cleaned, profiled, log, found, built, chosen, checks)
+    result = Analysis(cleaned, profiled, log, found, built, chosen, checks, lineage)
     if model_names is None:
         return result
-    data = models.prepare(cleaned, target, keys[0], task)
+    data = models.prepare(built, target, keys, task, names)
     result.model, result.ranking = models.compete(data, model_names, trials, model_params)
     evaluation = result.model.evaluation()
     result.gates = checks.unionByName(gates.model_gate(evaluation))

@@ -21,31 +21,57 @@ FORMATS = {
 }
 
 
-def _is_whole_document(spark: SparkSession, path: str) -> bool:
-    """True if a JSON file is one document; line-delimited records stay splittable."""
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()
-    if first is None:
-        return False
+def _documents(first: str | None) -> bool:
+    """True if a JSON file that starts with this line is one document, not a record a line."""
     try:
-        return not isinstance(json.loads(first["value"]), dict)
+        return first is not None and not isinstance(json.loads(first), dict)
     except ValueError:
         return True
 
 
-def _reader(
-    spark: SparkSession, extension: str, path: str, schema: T.StructType | str | None, options: dict
-):
+def _json_layouts(spark: SparkSession, path: str, listing: dict) -> dict[bool, list[str]]:
+    """Files below ``path`` by layout: whole documents (True) or records by line (False).
+
+    Every file is judged by its own first line that is not blank. One row per file comes to the driver.
+    """
+    lines = spark.read.options(**listing).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("place"),
+        "value",
+    )
+    firsts = lines.where(F.length(F.trim("value")) > 0).groupBy("file").agg(F.min_by("value", "place").alias("first"))
+    layouts: dict[bool, list[str]] = {}
+    for row in firsts.orderBy("file").collect():
+        layouts.setdefault(_documents(row["first"]), []).append(row["file"])
+    return layouts
+
+
+def _reader(spark: SparkSession, extension: str, schema: T.StructType | str | None, options: dict):
     if extension not in FORMATS:
         raise ValueError(f"Unsupported file format: {extension}")
     fmt, fixed = FORMATS[extension]
-    if fmt == "json" and "multiLine" not in options:
-        fixed = {"multiLine": _is_whole_document(spark, path)}
     reader = spark.read.format(fmt).options(**{**fixed, **options})
     if schema is not None:
         return reader.schema(schema)
     return reader.option("inferSchema", True) if fmt == "csv" else reader
 
 
+def _load(
+    spark: SparkSession, path: str, extension: str, schema: T.StructType | str | None, options: dict
+) -> DataFrame:
+    if extension in FORMATS and FORMATS[extension][0] == "json" and "multiLine" not in options:
+        listing = {k: v for k, v in options.items() if k in ("recursiveFileLookup", "pathGlobFilter")}
+        layouts = _json_layouts(spark, path, listing)
+        if len(layouts) > 1:
+            parts = [
+                _reader(spark, extension, schema, {**options, "multiLine": whole}).load(files)
+                for whole, files in sorted(layouts.items())
+            ]
+            return nan_to_null(parts[0].unionByName(parts[1], allowMissingColumns=True))
+        options = {**options, "multiLine": next(iter(layouts), False)}
+    return nan_to_null(_reader(spark, extension, schema, options).load(path))
+
+
 def load(
     spark: SparkSession,
     path: str,
@@ -54,10 +80,12 @@ def load(
 ) -> DataFrame:
     """Read one dataset by its lower-cased extension.
 
-    Pass ``schema`` for large text files: inference reads them one extra time.
+    Pass ``schema`` for large text files: inference reads them one extra time. JSON files
+    of either layout may lie in one folder; pass ``multiLine`` if all are of one layout,
+    which saves the pass that looks.
     """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
-    return nan_to_null(_reader(spark, extension, path, schema, options).load(path))
+    return _load(spark, path, extension, schema, options)
 
 
 def load_directory(
@@ -70,7 +98,7 @@ def load_directory(
 ) -> DataFrame:
     """Read every file below ``path``; ``limit`` keeps a first-n sample when asked for."""
     options = {"recursiveFileLookup": True, "pathGlobFilter": f"*{extension}", **options}
-    df = nan_to_null(_reader(spark, extension, path, schema, options).load(path))
+    df = _load(spark, path, extension, schema, options)
     return df if limit is None else df.limit(limit)
 
 
@@ -93,7 +121,7 @@ def load_smallest_file(
     first = file_inventory(spark, path, extension).select("path").first()
     if first is None:
         raise ValueError(f"no {extension} file below {path}")
-    df = nan_to_null(_reader(spark, extension, first["path"], None, options).load(first["path"]))
+    df = _load(spark, first["path"], extension, None, options)
     return df if limit is None else df.limit(limit)
 
 

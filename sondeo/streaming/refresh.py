@@ -6,6 +6,7 @@ its own folder, so a batch that is retried replaces itself and nothing is double
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sondeo.operators.ordering import top_k_per_key
 from sondeo.workspace import broadcast_if_small, delete_path, is_directory, path_exists
 
+LOG = logging.getLogger(__name__)
 KEEP = 24
 INTERVAL = "1 hour"
 
@@ -48,7 +50,8 @@ def start_refresh(
     """Write each micro-batch as a snapshot, drop expired ones, then run ``after``.
 
     One query per source: a failing source does not stop the others. ``once`` takes all
-    files landed so far and ends; otherwise the query polls every ``interval``.
+    files landed so far and ends; otherwise the query polls every ``interval``. An error in
+    ``after`` is logged and the stream goes on.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -57,7 +60,10 @@ def start_refresh(
         if keep is not None:
             drop_expired(batch.sparkSession, table, keep, source)
         if after is not None:
-            after(batch.sparkSession.read.parquet(snapshot_folder(table, source, batch_id)))
+            try:
+                after(batch.sparkSession.read.parquet(snapshot_folder(table, source, batch_id)))
+            except Exception:  # noqa: BLE001 - the snapshot is stored; a failing re-run must not end the refresh
+                LOG.exception("re-run after the refresh of %s failed", source)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": interval}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zlib
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side of a join is broadcast only after it was measured to stay below both.
 BROADCAST_ROWS = 100_000
@@ -22,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="sondeo-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -36,11 +41,26 @@ def scratch_path(spark: SparkSession, name: str, *parts: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so later passes start from files."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` as Parquet in the shared folder and read it again; the files go when the application ends.
+
+    Later passes read only the columns and row groups they need, and lost executors cost no recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_path(spark, 'cut')}-{uuid.uuid4().hex}"
+    untyped = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]  # Parquet has no type for these
+    df = df.withColumns({c: F.lit(None).cast("string") for c in untyped}) if untyped else df
+    df.write.parquet(path)
+    folder, files = _path(spark, path)
+    files.deleteOnExit(folder)
+    read = spark.read.schema(df.schema).parquet(path)
+    return read.withColumns({c: F.lit(None) for c in untyped}) if untyped else read
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys come once, from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = reduce(and_, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def within_broadcast_bound(df: DataFrame) -> bool:
@@ -57,7 +77,11 @@ def within_broadcast_bound(df: DataFrame) -> bool:
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast when the measured size allows it, else leave the join to AQE."""
+    """Hint a broadcast when the measured size allows it, else leave the join to AQE.
+
+    The side is written first, so measuring it does not run its plan a second time.
+    """
+    df = cut_lineage(df)
     return F.broadcast(df) if within_broadcast_bound(df) else df
 
 

@@ -67,13 +67,112 @@ def test_encoding_by_cardinality(spark):
     assert features.encoding_plan(df, ["two", "few", "many"]) == {"two": "label", "few": "onehot", "many": "label"}
 
 
-def test_lineage_rules(spark):
-    names = ["log_a", "log_b", "a_x_b", "c_d_e", "plain"]
-    found = {r["feature"]: r["origin"] for r in features.lineage(spark, names, ["log_a"]).collect()}
-    assert found == {
-        "log_a": "original:log_a", "log_b": "log_transform:b", "a_x_b": "interaction:a*b",
-        "c_d_e": "encoded:c_d_e", "plain": "derived:plain",
+def test_origins_are_noted_as_features_are_made(spark):
+    rows = [(i, float(i % 7), 2.0**i, f"c{i % 2}", f"h{i % 3}", i % 2) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, a double, wide double, two string, few string, y int")
+    built, origins = features.transform_with_origins(df, "y", [("a", "wide")], ["id"])
+    assert origins == {
+        "a": "original:a", "wide": "original:wide", "two": "encoded:two", "few_h1": "encoded:few", "few_h2": "encoded:few",
+        "log_wide": "log_transform:wide", "a_x_wide": "interaction:a*wide",
     }
+    assert set(built.columns) == {"id", "y", *origins}
+    assert sorted(r["id"] for r in built.collect()) == list(range(24))
+    assert {r["feature"] for r in features.lineage(spark, origins, ["a", "two"]).collect()} == {"a", "two"}
+
+
+def joins(df):
+    return str(df._jdf.queryExecution().optimizedPlan()).count("Join ")
+
+
+def test_encoding_takes_a_join_a_column(spark):
+    df = spark.createDataFrame([tuple(f"v{i * k % 13}" for k in range(1, 7)) for i in range(40)], ", ".join(f"c{k} string" for k in range(6)))
+    for k in (2, 4, 6):
+        encoded = features.encode(df.select(*[f"c{i}" for i in range(k)]))
+        assert joins(encoded) <= k and encoded.count() == 40
+
+
+def test_correlations_take_two_scans_whatever_the_columns(spark):
+    from itertools import combinations
+
+    from sondeo.operators import explore
+
+    rows = spark.range(300)
+    df = rows.select(*[F.when(F.col("id") % (k + 3) != 0, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100))).alias(f"c{k}") for k in range(50)])
+    df = df.cache()
+    df.count()
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for k in (5, 50):
+        spark.sparkContext.setJobGroup(f"corr{k}", "")
+        found = explore.correlation_pairs(df, list(combinations(df.columns[:k], 2)))
+        counts.append(len(tracker.getJobIdsForGroup(f"corr{k}")))
+        pair = found.where("col_a = 'c1' AND col_b = 'c4'").first()
+        assert abs(pair["correlation"] - df.select(F.corr("c1", "c4")).first()[0]) < 1e-9
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] <= 4
+
+
+def gappy(spark):
+    rows = [(k if k != "n" else None, t if t % 5 else None, i, v) for i, (k, t, v) in enumerate(
+        [("abn"[i % 3], i % 20, None if i % 4 == 0 else i) for i in range(100)])]
+    return spark.createDataFrame(rows, "k string, t long, i long, v long")
+
+
+def test_spans_lose_no_rows_with_nulls(spark):
+    from sondeo.operators import ordering
+
+    df = gappy(spark)
+    span = F.floor(F.col("t") / 3)
+    plain = ordering.running_number(df, ["k"], ["t", "i"], "n")
+    split = ordering.running_number(df, ["k"], ["t", "i"], "n", span)
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect())) and split.count() == 100
+    whole = ordering.forward_filled(df, ["k"], "t", ["v"], F.lit(0), ["i"])
+    filled = ordering.forward_filled(df, ["k"], "t", ["v"], span, ["i"])
+    assert sorted(map(str, filled.collect())) == sorted(map(str, whole.collect()))
+    lagged = ordering.lagged(df.withColumnsRenamed({"t": "to"}), ["k"], ["to", "i"], "v", [1, 2], F.floor(F.col("to") / 3), "i")
+    assert lagged.count() == 100
+
+
+@pytest.mark.parametrize("by", [None, ["k"]])
+def test_running_totals_agree_on_both_paths(spark, by):
+    from sondeo.operators import ordering
+
+    df = gappy(spark).groupBy("k", "t").agg(F.count("*").alias("n"))
+    df = df if by else df.groupBy("t").agg(F.sum("n").alias("n"))
+    found = [ordering.running_total(df, "t", {"before": "n"}, by, rows).collect() for rows in (10**6, 7)]
+    assert sorted(map(str, found[0])) == sorted(map(str, found[1]))
+
+
+def test_auc_with_null_scores_agrees_on_both_paths(spark, monkeypatch):
+    from sondeo.operators import metrics, ordering
+
+    df = spark.range(1000).select(F.when(F.col("id") % 7 != 0, F.col("id") * 37 % 501).cast("double").alias("s"), (F.col("id") % 3 == 0).alias("y"))
+    whole = metrics.roc_auc(df, "s", F.col("y")).first()
+    split = ordering.running_total
+
+    def narrow(groups, order, totals, by=None):
+        return split(groups, order, totals, by, 40)
+
+    monkeypatch.setattr(metrics, "running_total", narrow)
+    again = metrics.roc_auc(df, "s", F.col("y")).first()
+    assert (round(again["roc_auc"], 12), again["positives"]) == (round(whole["roc_auc"], 12), whole["positives"])
+
+
+def test_quantiles_by_group_keep_the_null_group_on_every_path(spark, monkeypatch):
+    from sondeo.operators import quantiles
+
+    df = gappy(spark)
+    found = []
+    for most, large in ((64, 10**9), (1, 10**9), (1, 1)):
+        monkeypatch.setattr(quantiles, "MOST_SERIES", most)
+        monkeypatch.setattr(quantiles, "EXACT_ROWS", large)
+        rows = quantiles.quantile_rows(df, ["i", "v"], [0.25, 0.5], ["k"]).collect()
+        found.append(sorted(str((r["k"], r["column"], r["n"], r["quantiles"])) for r in rows))
+    assert len(found[0]) == 6 and found[0] == found[1] == found[2]
+
+
+def test_constant_columns_have_no_zscore_row(spark):
+    df = spark.range(5).select(F.lit(1).alias("a"), F.lit(None).cast("int").alias("b"))
+    assert clean.zscore_outliers(df, ["a", "b"]).collect() == []
 
 
 @pytest.mark.parametrize("span_rows", [10, 10_000])

@@ -84,9 +84,28 @@ def test_regression_candidates_and_search(spark):
     assert lost["a"] > lost["b"] > 0
 
 
-def test_failing_candidates_are_left_out(three_classes):
+def test_failing_candidates_are_ranked_last_with_the_reason(three_classes, monkeypatch):
     with pytest.raises(ValueError):
         models.compete(three_classes, ["ridge"], params={"alpha": "wrong"})
+    train = models.train
+
+    def fails(data, name, params):
+        if name == "random_forest_clf":
+            raise RuntimeError("no trees today")
+        return train(data, name, params)
+
+    monkeypatch.setattr(models, "train", fails)
+    _, ranking = models.compete(three_classes, ["random_forest_clf", "logistic_regression"])
+    rows = ranking.orderBy("rank").collect()
+    assert [(r["model"], r["cv_mean"] is None) for r in rows] == [("logistic_regression", False), ("random_forest_clf", True)]
+    assert rows[1]["error"] == "RuntimeError: no trees today"
+
+
+def test_keys_and_unselected_columns_are_no_features(spark):
+    df = spark.range(60).select("id", (F.col("id") * 2).alias("other_key"), (F.col("id") % 5).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("y"))
+    data = models.prepare(df, "y", ["id", "other_key"], models.CLASSIFICATION, ["a"])
+    assert data.features == ["a"]
+    assert models.prepare(df, "y", ["id", "other_key"], models.CLASSIFICATION).features == ["a", "b"]
 
 
 def gate(df):
@@ -147,6 +166,9 @@ def test_analysis_end_to_end(spark):
     stages = {r["stage"] for r in report.gates.collect()}
     assert stages == {"data_collection", "data_cleaning", "eda", "feature_engineering", "modeling"}
     assert report.recommendations.count() >= 2
+    chosen = {r["feature"] for r in report.selected.collect()}
+    assert set(report.model.data.features) == chosen == {r["feature"] for r in report.lineage.collect()}
+    assert "id" not in chosen
 
 
 def test_refresh_writes_each_file_once(spark, tmp_path):

@@ -215,3 +215,12 @@ def test_versions(spark, tmp_path):
     assert [(r["source"], r["version"]) for r in tables.lineage(spark, base).collect()] == [("first", 1)]
     tables.clear(spark, base)
     assert tables.current_version(spark, base, "k") == 0
+
+
+def test_json_layouts_may_be_mixed_in_a_folder(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "lines.json").write_text('\n{"a": 1}\n{"a": 2}\n')
+    (folder / "array.json").write_text('[{"a": 3},\n {"a": 4, "b": "x"}]')
+    assert sorted(r["a"] for r in files.load(spark, str(folder)).collect()) == [1, 2, 3, 4]
+    assert sorted(r["a"] for r in files.load_directory(spark, str(folder), ".json").collect()) == [1, 2, 3, 4]
