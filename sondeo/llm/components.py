@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, contracted in tasks, then by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from sondeo.llm.common import stored
 
 
+#: Links are dealt to as many tasks as it takes to have about so many in each.
+LINKS_PER_TASK = 200_000
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a batch as links to the least node each reaches in it: long chains shrink before any shuffle."""
-    for batch in batches:
-        a, b = (c.to_numpy() for c in batch.columns)
+    """The links of a task as links to the least node that each node reaches in them."""
+    parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts))
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         root = np.arange(len(nodes))
         left, right = at[: len(a)], at[len(a) :]
@@ -40,10 +45,14 @@ def _least(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b: longs, not null); the label is the least node reachable.
 
-    Every round joins links with one minimum a node, so a hub meets in no single task but as one row.
+    Every task first contracts its own links; if they fit one task, that is all. Otherwise every round joins
+    links with one minimum a node, so a hub meets in no single task but as one row.
     """
-    start = links.select("a", "b").where("a <> b").mapInArrow(_local_stars, "node long, to long").distinct()
-    links, before = stored(start, "links"), None
+    links = stored(links.select("a", "b").where("a <> b").distinct(), "links")
+    tasks = -(-links.count() // LINKS_PER_TASK)
+    links, before = stored(links.repartition(max(1, tasks)).mapInArrow(_local_stars, "node long, to long").distinct(), "links"), None
+    if tasks <= 1:
+        return _labelled(links)
     while True:
         both = links.unionByName(links.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = _least(both).select("node", F.least("node", "least").alias("least"))
@@ -58,8 +67,11 @@ def components(links: DataFrame) -> DataFrame:
         links = stored(small.select("l.node", "l.to").where("node <> to").distinct(), "links")
         now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
-            break
+            return _labelled(links)
         before = now
+
+
+def _labelled(links: DataFrame) -> DataFrame:
     labelled = links.select("node", F.col("to").alias("label"))
     roots = links.select(F.col("to").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return labelled.unionByName(roots)

@@ -24,13 +24,13 @@ from sondeo.workspace import broadcast_if_small
 WORDS = 5
 #: Similarity as a fraction: 100 * overlap >= 75 * union.
 PERCENT = 75
-#: A set of n shingles is counted in about n / 4 groups, a power of two within these bounds.
-LEAST_GROUPS, MOST_GROUPS = 32, 4096
+#: A set of n shingles is counted in 2 n groups or more, a power of two within these bounds; the tree uses fewer.
+LEAST_GROUPS, MOST_GROUPS, TREE_GROUPS = 32, 1 << 16, 1 << 12
 #: Counters of the corpus' shingles; they order shingles by frequency and affect speed, not results.
 COUNTERS = 1 << 18
 LEAF = 16
-#: Rounds in which every point of a cell tries only its nearest neighbours in other components, and how many.
-NEAREST_ROUNDS, NEAREST = 2, 4
+#: Rounds in which every point of a cell tries only its nearest neighbours in other components, and how many of them.
+NEAREST_ROUNDS, NEAREST = 1, 4
 _D1, _D2 = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -62,8 +62,12 @@ def needed(a, b, percent: int = PERCENT):
 
 def count_vector(found: np.ndarray) -> np.ndarray:
     """How many shingles of a set fall into each group; the more shingles, the more groups."""
-    groups = min(max(1 << (len(found) // 4).bit_length(), LEAST_GROUPS), MOST_GROUPS)
-    return np.bincount(((found >> np.uint64(40)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+    groups = min(max(1 << (2 * len(found)).bit_length(), LEAST_GROUPS), MOST_GROUPS)
+    while True:
+        counts = np.bincount(((found >> np.uint64(32)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -111,7 +115,7 @@ class RTree:
             top, low, high, label = (x for x in self.levels[level - 1])
             a = np.arange(i * LEAF, min((i + 1) * LEAF, len(top)))
             b = np.arange(j * LEAF, min((j + 1) * LEAF, len(top)))
-            bound = np.minimum(top[a][:, None, :], top[b][None, :, :]).sum(axis=2)
+            bound = np.minimum(top[a][:, None, :], top[b][None, :, :]).sum(axis=2, dtype=np.int32)
             open_to = bound >= needed(low[a][:, None], low[b][None, :], percent)
             open_to &= 100 * np.minimum(high[a][:, None], high[b][None, :]) >= percent * np.maximum(low[a][:, None], low[b][None, :])
             open_to &= (label[a][:, None] != label[b][None, :]) | (label[a][:, None] < 0)
@@ -333,8 +337,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs whose count vectors allow them to be similar, stored."""
 
     def may_be(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)
-        return overlap_bound(x, y) >= needed(int(x.sum()), int(y.sum()), percent)
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        return overlap_bound(x, y) >= needed(int(x.sum(dtype=np.int64)), int(y.sum(dtype=np.int64)), percent)
 
     return stored(_tested(_both(pairs, points, "counts"), may_be), "pairs")
 
@@ -373,10 +377,11 @@ def _searched(cells: DataFrame, points: DataFrame, labels: DataFrame, percent: i
 
     def searched(table: pa.Table) -> pa.Table:
         node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-        counts = [np.frombuffer(c.as_py(), np.int32) for c in table.column("counts")]
-        groups = min(len(c) for c in counts)
+        counts = [np.frombuffer(c.as_py(), np.uint8) for c in table.column("counts")]
+        groups = min(TREE_GROUPS, *map(len, counts))
         counts = np.stack([folded(c, groups) for c in counts])
-        sizes = counts.sum(axis=1)
+        sizes = counts.sum(axis=1, dtype=np.int64)
+        counts = counts.astype(np.uint8) if counts.max() < 256 else counts  # narrow numbers are compared faster
         found, kept = [np.zeros((0, 2), dtype=np.int64)], 0
         for x, y in RTree(counts, sizes, label).pairs(percent):
             found.append(np.column_stack([x, y]))
@@ -395,7 +400,7 @@ def _searched(cells: DataFrame, points: DataFrame, labels: DataFrame, percent: i
 
 def _nearest_of(pairs: np.ndarray, counts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     x, y = pairs[:, 0], pairs[:, 1]
-    return nearest(pairs, np.minimum(counts[x], counts[y]).sum(axis=1) / (sizes[x] + sizes[y]), k)
+    return nearest(pairs, np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64) / (sizes[x] + sizes[y]), k)
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -428,8 +433,10 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     for limit in [NEAREST] * NEAREST_ROUNDS + [None]:
         labels = stored(components(links), "labels")
         rest = stored(_searched(cells, points, labels, percent, limit).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(docs, rest, rows, n, percent))
-        tried = tried.unionByName(rest)
+        if not rest.isEmpty():
+            tried = tried.unionByName(rest)
+            rest = _bounded(rest, points, percent)
+            links = links.unionByName(_verified(docs, rest, rows, n, percent))
     # Nodes of one document hang together too.
     owned = rows.where("doc_id IS NOT NULL AND size > 0").select("doc_id", "node")
     first = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
