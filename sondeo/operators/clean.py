@@ -192,3 +192,19 @@ def canonical_categories(df: DataFrame, column: str, canon: list[str], threshold
     best = F.array_max(F.array(*[scored(i, n) for i, n in enumerate(canon)]))
     mapped = F.when(best["ratio"] >= threshold, best["name"]).otherwise(F.col(column))
     return df.withColumn(f"{column}_canonical", mapped)
+
+
+def mask_columns(df: DataFrame, columns: list[str], keep: int = 4) -> DataFrame:
+    """All but the last ``keep`` characters as ``*``; shorter values are masked whole."""
+    masked = {}
+    for c in columns:
+        text = F.col(c).cast("string")
+        size = F.char_length(text)
+        shown = F.when(size > keep, F.right(text, F.lit(keep))).otherwise(F.lit(""))
+        masked[c] = F.concat(F.repeat(F.lit("*"), size - F.char_length(shown)), shown)
+    return df.withColumns(masked)
+
+
+def hash_columns(df: DataFrame, columns: list[str], salt: str = "") -> DataFrame:
+    """SHA-256 of salt and value in hex, so that equal values stay equal; NULL stays NULL."""
+    return df.withColumns({c: F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256) for c in columns})

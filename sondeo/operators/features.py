@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,15 @@ def add_logs(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"log_{c}": F.log1p(F.col(c)) for c in columns}) if columns else df
 
 
+def add_squares(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({f"{c}_squared": F.col(c) * F.col(c) for c in columns})
+
+
+def add_roots(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Square roots of the magnitudes."""
+    return df.withColumns({f"{c}_root": F.sqrt(F.abs(c)) for c in columns})
+
+
 def log_skewed(df: DataFrame, columns: list[str], limit: float = 2.0) -> DataFrame:
     return add_logs(df, skewed_columns(df, columns, limit))
 
@@ -208,3 +220,21 @@ def percent_rank(df: DataFrame, column: str, output: str) -> DataFrame:
         column, F.try_divide(F.col("_below").cast("double"), (total - 1).cast("double")).alias(output)
     )
     return df.join(broadcast_if_small(ranked), column, "left")
+
+
+def principal_components(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, list[float]]:
+    """Scores ``pc_1`` to ``pc_<k>`` on the scaled columns (gaps as 0), and the share of variance of each."""
+    scaled = standard_scale(df, columns).withColumnsRenamed({c: f"_z_{c}" for c in columns})
+    rows = scaled.select("*", array_to_vector(F.array(*[F.col(f"_z_{c}") for c in columns])).alias("_z"))
+    model = PCA(k=k, inputCol="_z", outputCol="_pc").fit(rows)
+    scores = vector_to_array("_pc")
+    kept = [c for c in df.columns if c not in columns]
+    scored = model.transform(rows).select(*kept, *[F.get(scores, F.lit(i)).alias(f"pc_{i + 1}") for i in range(k)])
+    return scored, model.explainedVariance.toArray().tolist()
+
+
+def clustered(df: DataFrame, columns: list[str], k: int, seed: int = 42, name: str = "cluster") -> DataFrame:
+    """The k-means cluster of each row on the scaled columns (gaps as 0)."""
+    scaled = standard_scale(df, columns).select("*", array_to_vector(F.array(*columns)).alias("_z"))
+    model = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol=name).fit(scaled)
+    return model.transform(scaled).drop("_z", *columns)

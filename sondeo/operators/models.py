@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import random
 from dataclasses import dataclass, field
@@ -31,6 +32,8 @@ FOLDS = 5
 SEED = 42
 # MLlib grows trees level by level and needs a bound; the cap for "unlimited" depth.
 DEEPEST = 12
+MLLIB_DEPTH = 30
+LOG = logging.getLogger(__name__)
 
 # Default parameters per model.
 DEFAULTS = {
@@ -81,8 +84,10 @@ def candidates(task: str) -> list[str]:
 def build_estimator(name: str, params: dict, rows: int, classes: int) -> Estimator:
     """The MLlib estimator for a model name. Penalties are given per data set, MLlib's per row."""
     columns = {"featuresCol": "features", "labelCol": "label"}
+    if int(params.get("max_depth", DEEPEST)) > MLLIB_DEPTH:
+        LOG.warning("%s: depth %s is more than MLlib grows; %s is used", name, params["max_depth"], MLLIB_DEPTH)
     trees = {
-        "maxDepth": min(int(params.get("max_depth", DEEPEST)), 30),
+        "maxDepth": min(int(params.get("max_depth", DEEPEST)), MLLIB_DEPTH),
         "minInstancesPerNode": max(
             int(params.get("min_samples_leaf", params.get("min_child_weight", 1))),
             int(params.get("min_samples_split", 2)) // 2,

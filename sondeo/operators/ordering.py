@@ -188,6 +188,35 @@ def forward_filled(
     return null_safe_join(spanned, carried, [*keys, "_span"]).withColumns(filled).select(*df.columns)
 
 
+def time_since_previous(
+    df: DataFrame, keys: list[str], time: Column, span: Column, name: str, tie: list[str] | None = None
+) -> DataFrame:
+    """Time units since the key's row before; NULL for its first row and where a time is NULL.
+
+    Only the last time of each (key, span) crosses span borders.
+    """
+    spanned = df.withColumns({"_span": span, "_t": time})
+    before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        spanned.groupBy(*keys, "_span")
+        .agg(F.max("_t").alias("_last"))
+        .select(*keys, "_span", F.max("_last").over(before).alias("_carried"))
+    )
+    within = W.partitionBy(*keys, "_span").orderBy("_t", *(tie or []))
+    previous = F.coalesce(F.lag("_t").over(within), F.col("_carried"))
+    return (
+        null_safe_join(spanned, carried, [*keys, "_span"])
+        .withColumn(name, F.col("_t") - previous)
+        .select(*df.columns, name)
+    )
+
+
+def sampled_keys(df: DataFrame, key: str, k: int = 10, seed: int = 42) -> DataFrame:
+    """At most ``k`` distinct non-NULL keys, the first by a seeded hash."""
+    distinct = df.where(F.col(key).isNotNull()).select(key).distinct()
+    return distinct.orderBy(mixed_hash(F.col(key) + seed), key).limit(k)
+
+
 def lagged(
     df: DataFrame,
     keys: list[str],

@@ -213,3 +213,13 @@ def canonical_categories(spark, folder):
     df = table(spark, folder, "customer").select("c_custkey", variant.alias("variant"))
     canon = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     return clean.canonical_categories(df, "variant", canon)
+
+
+@query(
+    """SELECT c_custkey, sha256('pepper' || c_name) AS c_name,
+      CASE WHEN length(c_mktsegment) > 4 THEN repeat('*', length(c_mktsegment) - 4) || right(c_mktsegment, 4)
+        ELSE repeat('*', length(c_mktsegment)) END AS c_mktsegment FROM customer"""
+)
+def masked_columns(spark, folder):
+    df = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return clean.mask_columns(clean.hash_columns(df, ["c_name"], "pepper"), ["c_mktsegment"])

@@ -237,10 +237,40 @@ def percent_rank(spark, folder):
 def quantile_bins(spark, folder):
     df = table(spark, folder, "events")
     edges = fit_quantiles(df, ["value"], [0.25, 0.5, 0.75])["value"]
-    value = F.col("value")
-    return df.select(
+    powers = features.add_roots(features.add_squares(df, ["value"]), ["value"])
+    return powers.select(
         "event_id",
-        features.quantile_bin(value, edges).alias("bin"),
-        (value * value).alias("squared"),
-        F.round(F.sqrt(F.abs(value)), 4).alias("root"),
+        features.quantile_bin(F.col("value"), edges).alias("bin"),
+        F.col("value_squared").alias("squared"),
+        F.round("value_root", 4).alias("root"),
+    )
+
+
+_MANY_LABELS = ["o_orderpriority", "o_orderstatus", "o_day", "o_clerk"]
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_day,
+        'clerk ' || (o_custkey % 97) AS o_clerk FROM orders)
+    SELECT o_orderkey, """
+    + ", ".join(f"dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS {c}" for c in _MANY_LABELS)
+    + " FROM o"
+)
+def encode_many(spark, folder):
+    df = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_day"),
+        F.concat(F.lit("clerk "), F.col("o_custkey") % 97).alias("o_clerk"),
     )
+    return features.label_encode_all(df, {c: c for c in _MANY_LABELS})
+
+
+@query(
+    """WITH m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp,
+        corr(l_quantity, l_extendedprice) AS r FROM lineitem)
+    SELECT component, round(share, 6) AS share FROM m, LATERAL (SELECT 1 AS component, (1 + abs(r)) / 2 AS share UNION ALL SELECT 2, (1 - abs(r)) / 2) s"""
+)
+def principal_components(spark, folder):
+    df = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    _, shares = features.principal_components(df, ["l_quantity", "l_extendedprice"], 2)
+    rows = [(i + 1, round(v, 6)) for i, v in enumerate(shares)]
+    return spark.createDataFrame(rows, "component int, share double")

@@ -37,6 +37,35 @@ def rolling_7d(spark, folder):
     )
 
 
+@query(
+    """SELECT event_id, count(*) OVER w AS n_30d, round(avg(value) OVER w, 9) AS mean_30d
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)"""
+)
+def rolling_30d(spark, folder):
+    measures = {"n_30d": F.count("*"), "mean_30d": F.avg("value")}
+    rolled = ordering.rolling_by_time(_events(spark, folder), ["user_id"], wall_micros("ts"), 30 * _DAY, measures)
+    return rolled.select("event_id", "n_30d", F.round("mean_30d", 9).alias("mean_30d"))
+
+
+@query(
+    """SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS micros_since
+    FROM events"""
+)
+def time_since(spark, folder):
+    since = ordering.time_since_previous(
+        _events(spark, folder), ["user_id"], wall_micros("ts"), day("ts"), "micros_since", ["event_id"]
+    )
+    return since.select("event_id", "micros_since")
+
+
+@query(
+    """SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)
+    ORDER BY (((user_id + 42) % 2147483648) * 2654435761) % 4294967296, user_id LIMIT 10"""
+)
+def key_sample(spark, folder):
+    return ordering.sampled_keys(_events(spark, folder), "user_id")
+
+
 @query(
     """SELECT user_id, event_id, value, lag(value, 1) OVER w AS value_lag_1, lag(value, 7) OVER w AS value_lag_7,
       lag(value, 30) OVER w AS value_lag_30 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""

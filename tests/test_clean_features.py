@@ -170,6 +170,31 @@ def test_quantiles_by_group_keep_the_null_group_on_every_path(spark, monkeypatch
     assert len(found[0]) == 6 and found[0] == found[1] == found[2]
 
 
+def test_time_since_previous_counts_null_keys_as_one(spark):
+    from sondeo.operators import ordering
+
+    df = gappy(spark).select("k", "t").where("t IS NOT NULL").distinct()
+    found = ordering.time_since_previous(df, ["k"], F.col("t"), F.floor(F.col("t") / 3), "since")
+    for key in ("a", "b", None):
+        rows = sorted((r["t"], r["since"]) for r in found.where(F.col("k").eqNullSafe(F.lit(key))).collect())
+        assert rows and [s for _, s in rows] == [None, *(b[0] - a[0] for a, b in zip(rows, rows[1:]))]
+
+
+def test_masks_and_hashes(spark):
+    df = spark.createDataFrame([("abcdefg", "x"), ("ab", None)], "a string, b string")
+    assert column(clean.mask_columns(df, ["a"]), "a") == ["***defg", "**"]
+    hashed = column(clean.hash_columns(df, ["b"], "s"), "b")
+    assert len(hashed[0]) == 64 and hashed[1] is None
+
+
+def test_clusters_and_components(spark):
+    df = spark.range(60).select("id", (F.col("id") % 2 * 100 + F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 2 * 50).cast("double").alias("b"))
+    found = {(r["id"] % 2, r["cluster"]) for r in features.clustered(df, ["a", "b"], 2).collect()}
+    assert len(found) == 2
+    scores, shares = features.principal_components(df, ["a", "b"], 2)
+    assert scores.columns == ["id", "pc_1", "pc_2"] and shares[0] > 0.95 and abs(sum(shares) - 1) < 1e-9
+
+
 def test_constant_columns_have_no_zscore_row(spark):
     df = spark.range(5).select(F.lit(1).alias("a"), F.lit(None).cast("int").alias("b"))
     assert clean.zscore_outliers(df, ["a", "b"]).collect() == []
