@@ -181,7 +181,7 @@ def test_time_since_previous_counts_null_keys_as_one(spark):
 
 
 def test_masks_and_hashes(spark):
-    df = spark.createDataFrame([("abcdefg", "x"), ("ab", None)], "a string, b string")
+    df = spark.createDataFrame([(1, "abcdefg", "x"), (2, "ab", None)], "id int, a string, b string")
     assert column(clean.mask_columns(df, ["a"]), "a") == ["***defg", "**"]
     hashed = column(clean.hash_columns(df, ["b"], "s"), "b")
     assert len(hashed[0]) == 64 and hashed[1] is None
