@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from sondeo.llm import decontaminate, fingerprints, hashing, mixing, ngram_join, quality, sharding, token_counts
+from sondeo.llm import components as llm_components
 from sondeo.llm import queries as llm
 from sondeo.llm.components import components
 
@@ -132,7 +133,9 @@ def test_ngram_join_by_brute_force(spark, seed):
     assert {r.doc_id: r.component_id for r in found} == cases.components(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_a_task", [20, 10_000])
+def test_components(spark, monkeypatch, in_a_task):
+    monkeypatch.setattr(llm_components, "LINKS_PER_TASK", in_a_task)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(7, 7), (5000, 4000), (4000, 4500)]
     random.Random(1).shuffle(links)
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
