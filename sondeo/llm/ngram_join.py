@@ -9,6 +9,7 @@ components with the R-tree, whose bound drops whole subtrees, and verifies what
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.common import stored
+from sondeo.llm.common import scratch, stored
 from sondeo.llm.components import components
 from sondeo.llm.hashing import grams, mixed, words
 from sondeo.workspace import broadcast_if_small
@@ -24,7 +25,7 @@ from sondeo.workspace import broadcast_if_small
 WORDS = 5
 #: Similarity as a fraction: 100 * overlap >= 75 * union.
 PERCENT = 75
-#: A set of n shingles is counted in 2 n groups or more, a power of two within these bounds; the tree uses fewer.
+#: A set of n shingles is counted in more than n groups, a power of two within these bounds; the tree uses fewer.
 LEAST_GROUPS, MOST_GROUPS, TREE_GROUPS = 32, 1 << 16, 1 << 12
 #: Counters of the corpus' shingles; they order shingles by frequency and affect speed, not results.
 COUNTERS = 1 << 18
@@ -62,7 +63,7 @@ def needed(a, b, percent: int = PERCENT):
 
 def count_vector(found: np.ndarray) -> np.ndarray:
     """How many shingles of a set fall into each group; the more shingles, the more groups."""
-    groups = min(max(1 << (2 * len(found)).bit_length(), LEAST_GROUPS), MOST_GROUPS)
+    groups = min(max(1 << len(found).bit_length(), LEAST_GROUPS), MOST_GROUPS)
     while True:
         counts = np.bincount(((found >> np.uint64(32)) % np.uint64(groups)).astype(np.int64), minlength=groups)
         if counts.max() < 256:
@@ -315,6 +316,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFra
     return stored(texts.select("text").mapInArrow(made, "node long, found binary"), "sets")
 
 
+def _in_place(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` written in buckets of a key: what joins it by the key moves, and it stays where it is."""
+    name = f"points_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", scratch(df.sparkSession, "points")).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     """The pairs (a, b) with a column of both nodes."""
     a = side.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
@@ -420,14 +429,15 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         _dealt(docs, parts, n, percent).repartitionById(parts, "part").mapInArrow(_cells(percent), _FOUND), "ngram_cells", "kind"
     )
     rows = found.where("kind = 0").select("doc_id", "size", "node")
-    # Equal sets of different tasks bring equal vectors; one is taken.
-    points = stored(
-        found.where("kind = 0 AND counts IS NOT NULL AND size > 0").groupBy("node").agg(F.first("counts").alias("counts")), "points"
-    )
     near = stored(found.where("kind = 1").select("a", "b").distinct(), "pairs")
+    # Every node of a cell has a neighbour in it. Equal sets of different tasks bring equal vectors; one is taken.
+    met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    vectors = found.where("kind = 0 AND counts IS NOT NULL AND size > 0").select("node", "counts")
+    points = _in_place(vectors.join(met, "node").dropDuplicates(["node"]), "node", parts)
     links = _verified(docs, _bounded(near, points, percent), rows, n, percent)
-    cells = found.where("kind = 2").select("cell").distinct()
-    cells = stored(cells.mapInArrow(_listed, "cell binary, members array<long>"), "cells")
+    # Cells of different parts that begin with the same node are mostly of the same group: they are merged again.
+    cells = found.where("kind = 2").select("cell", F.substring("cell", 1, 8).alias("first")).distinct()
+    cells = stored(cells.groupBy("first").applyInArrow(_merged_again, "cell binary, members array<long>"), "cells")
     # Nearest neighbours first join what belongs together, so that few pairs cross components at the end.
     tried = near
     for limit in [NEAREST] * NEAREST_ROUNDS + [None]:
@@ -454,10 +464,9 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        members = [np.frombuffer(c.as_py(), np.int64) for c in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.list_(pa.int64()))], names=["cell", "members"])
+def _merged_again(table: pa.Table) -> pa.Table:
+    members = merged_cells([np.frombuffer(c.as_py(), np.int64) for c in table.column("cell")])
+    return pa.table({"cell": pa.array([m.tobytes() for m in members], pa.binary()), "members": pa.array(members, pa.list_(pa.int64()))})
 
 
 def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
