@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 Every benchmark item is cut into word n-grams. One pass counts the documents of each n-gram; the rarer half of an
-item's n-grams are its seeds. A second pass looks the seeds up in every document and aligns the item, word by word,
+item's n-grams that occur are its seeds. A second pass looks the seeds up in every document and aligns the item, word by word,
 with the passage around the hits, so that copies with changed, lost and added words are found with their spans.
 """
 
@@ -55,11 +55,11 @@ class Seeds:
         return made
 
     def rare(self, counts: dict[int, np.ndarray]) -> Seeds:
-        """Of each item only the n-grams found in no more documents than its median one; counts are by row of a table."""
+        """Of each item the rarer half of its n-grams that are found at all, ties included; counts are by row of a table."""
         kept = Seeds(self.item_ids, self.item_words)
         for size, (hashes, items, places) in self.tables.items():
-            middle = pd.Series(counts[size]).groupby(items).transform("median").to_numpy()
-            rare = counts[size] <= middle
+            found = pd.Series(counts[size]).where(counts[size] > 0)
+            rare = (found <= found.groupby(items).transform("median")).to_numpy()
             kept.tables[size] = hashes[rare], items[rare], places[rare]
         return kept
 
