@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
-Every benchmark item is cut into word n-grams. One pass counts the documents of each n-gram; the rarer half of an
-item's n-grams that occur are its seeds. A second pass looks the seeds up in every document and aligns the item, word by word,
+Every benchmark item is cut into word n-grams, and all of them are seeds: which documents hold copies of an item does
+not decide whether another's is found. One pass looks the seeds up in every document and aligns the item, word by word,
 with the passage around the hits, so that copies with changed, lost and added words are found with their spans.
+Passages that share too few words with the item for the least score, as common n-grams bring up, are not aligned.
 """
 
 from __future__ import annotations
@@ -54,15 +55,6 @@ class Seeds:
             made.tables[size] = hashes[order], items[order], places[order]
         return made
 
-    def rare(self, counts: dict[int, np.ndarray]) -> Seeds:
-        """Of each item the rarer half of its n-grams that are found at all, ties included; counts are by row of a table."""
-        kept = Seeds(self.item_ids, self.item_words)
-        for size, (hashes, items, places) in self.tables.items():
-            found = pd.Series(counts[size]).where(counts[size] > 0)
-            rare = (found <= found.groupby(items).transform("median")).to_numpy()
-            kept.tables[size] = hashes[rare], items[rare], places[rare]
-        return kept
-
     def hits(self, found: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For words of a document: by size of n-gram the places in the document and the rows of the table."""
         for size, (hashes, _, _) in self.tables.items():
@@ -98,6 +90,13 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return score / (MATCH * len(item)), end - back, end
 
 
+def best_possible(item: np.ndarray, passage: np.ndarray) -> float:
+    """A bound of the score of :func:`aligned`: words that the passage has match, each other one costs a step."""
+    steps = np.cumsum(np.where(np.isin(item, passage), MATCH, max(MISMATCH, GAP)))
+    before = np.minimum.accumulate(np.concatenate([[0], steps[:-1]]))
+    return max(0, int((steps - before).max())) / (MATCH * len(item))
+
+
 def search(text: str | None, seeds: Seeds, min_score: float) -> list[tuple]:
     """(item_id, score, begin, end) of each item found in a text, in code points, one span for an item."""
     raw = (text or "").encode()
@@ -118,6 +117,8 @@ def search(text: str | None, seeds: Seeds, min_score: float) -> list[tuple]:
             slack = max(4, len(item) // 2)
             low = max(0, int(begins[a]) - slack)
             high = min(len(found), int(begins[b - 1]) + len(item) + slack)
+            if best_possible(item, found[low:high]) < min_score:
+                continue
             score, first, last = aligned(item, found[low:high])
             if score >= min_score and score > best.get(owners[a], (0.0,))[0]:
                 best[owners[a]] = score, low + first, low + last
@@ -138,35 +139,6 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is not None, r))
 
 
-def _rare_seeds(docs: DataFrame, rows: list[tuple]) -> Seeds:
-    """The seeds of a block, after a pass that counts the documents of its n-grams."""
-    all_grams = Seeds.of(rows)
-    if not all_grams.tables:
-        return all_grams
-    shared = docs.sparkSession.sparkContext.broadcast(all_grams)  # bounded: see BLOCK_BYTES
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        counts = {size: np.zeros(len(t[0]), dtype=np.int64) for size, t in seeds.tables.items()}
-        for batch in batches:
-            for text in batch.column(0):
-                found = words((text.as_py() or "").encode(), PUNCTUATION)[0]
-                for size, _, hit in seeds.hits(found):
-                    counts[size][np.unique(hit)] += 1
-        for size, n in counts.items():
-            seen = np.flatnonzero(n)
-            if len(seen):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(seen), size)), pa.array(seen), pa.array(n[seen])], names=["size", "row", "n"]
-                )
-
-    per_task = docs.select("text").mapInArrow(counted, "size long, row long, n long")
-    counts = {size: np.zeros(len(t[0]), dtype=np.int64) for size, t in all_grams.tables.items()}
-    for r in per_task.groupBy("size", "row").agg(F.sum("n").alias("n")).collect():  # a row per n-gram of the block
-        counts[r["size"]][r["row"]] = r["n"]
-    return all_grams.rare(counts)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, item_id, score, begin, end) for every document and item that it holds a copy of.
 
@@ -182,7 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, begin long, end long"
     names = ["doc_id", "item_id", "score", "begin", "end"]
     for rows in _item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare_seeds(docs, rows))
+        shared = docs.sparkSession.sparkContext.broadcast(Seeds.of(rows))  # bounded: see BLOCK_BYTES
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -205,7 +177,7 @@ def leaked(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
     """A column for ``docs`` that is true for rows with a copy of an item; rules as for :func:`leaks`."""
     found = F.lit(False)
     for rows in _item_blocks(benchmark):
-        found = found | _holds(docs.sparkSession.sparkContext.broadcast(_rare_seeds(docs, rows)), min_score)(F.col("text"))
+        found = found | _holds(docs.sparkSession.sparkContext.broadcast(Seeds.of(rows)), min_score)(F.col("text"))
     return found
 
 

@@ -87,6 +87,31 @@ def test_leaks_find_edited_copies(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(20)}
 
 
+def test_leaks_find_edited_copies_beside_exact_ones(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(f"i{i}x{j}" for j in range(40))) for i in range(3)]
+    items += [(10 + i, " ".join(rng.choices(vocabulary, k=30))) for i in range(5)]
+    docs = []
+    for i, text in items:
+        for every in (0, 4, 5, 8):
+            w = ["new" if every and j % every == every - 1 else x for j, x in enumerate(text.split())]
+            around = [rng.choices(vocabulary, k=20) for _ in range(2)]
+            docs.append((100 * i + every, " ".join([*around[0], *w, *around[1]])))
+    expected = {}
+    for d, text in docs:
+        passage = np.array([hash(w) for w in text.split()])
+        for i, item in items:
+            words = np.array([hash(w) for w in item.split()])
+            score = decontaminate.smith_waterman(words, passage)[0] / (2 * len(words))
+            assert decontaminate.best_possible(words, passage) >= score
+            if score >= decontaminate.MIN_SCORE:
+                expected[d, i] = score
+    assert {(100 * i + every, i) for i, _ in items for every in (0, 4, 5, 8)} <= set(expected)
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == expected
+
+
 def test_rtree_keeps_every_similar_pair():
     rng = np.random.default_rng(11)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(20, 200)).astype(np.uint64)) for _ in range(150)]
