@@ -1,84 +1,115 @@
 """Mixing of sources to target weights by Pfair scheduling.
 
-Time is counted in slots of one block. A source of weight w releases its i-th block at floor((i - 1) / w) and wants
-it by ceil(i / w); among the released blocks the earliest deadline goes first. With weights k / Q the schedule
-repeats every Q slots, so one period is laid out here and every document finds its slot by arithmetic and a look-up.
+Time is counted in slots of one block. A source of weight w releases its i-th block (from 0) at floor(i / w) and wants
+it by ceil((i + 1) / w); among the released blocks the earliest deadline goes first. Weights are exact fractions and the
+schedule is laid out as far as the sources' blocks go, so no rounding of a weight adds up over the slots.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.common import numbered, quoted, without
+from sondeo.llm.common import numbered, quoted, stored, without
 
 BLOCK_ROWS = 16
 PERIOD = 1000
 CELLS = 256
 MAX_SOURCES = 100_000
+#: Rows of the schedule that are handed on at a time.
+LAID_ROWS = 50_000
 _NULL = "\0null"
 
 
 def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period by source, in proportion to the weights; largest remainders first, each at least 1.
+    """Whole slots of a period by source, in proportion to the weights; largest remainders first.
 
-    The period grows where there are too many sources to give each a fair share of it.
+    The period grows where there are too many sources; sources too small for a slot of it are left out. This rounds:
+    :func:`mix` does not use it.
     """
-    weights = {s: float(w) for s, w in sorted(weights.items()) if w > 0}
-    if not weights:
-        return {}
-    period, total = max(period, 10 * len(weights)), sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    slots = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(slots.values())]:
+    exact = _whole(weights)
+    period, total = max(period, 10 * len(exact)), sum(exact.values())
+    slots = {s: w * period // total for s, w in exact.items()}
+    for s in sorted(exact, key=lambda s: (-(exact[s] * period % total), s))[: period - sum(slots.values())]:
         slots[s] += 1
-    return slots
+    return {s: n for s, n in slots.items() if n}
 
 
-def pfair_period(slots: Mapping[str, int]) -> list[tuple[str, int]]:
-    """One period: for each slot (source, number of the source's block in the period), earliest deadline first."""
-    period = sum(slots.values())
-    waiting = [(0, s, 0) for s in sorted(slots)]  # (release, source, block)
+def _whole(weights: Mapping[str, float]) -> dict[str, int]:
+    """Positive weights as whole numbers in the same proportions, as written in decimals."""
+    exact = {s: Fraction(repr(float(w))) for s, w in sorted(weights.items()) if w > 0}
+    unit = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def pfair(weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
+    """For each slot without end (source, number of the source's block), earliest deadline first."""
+    whole = _whole(weights)
+    total = sum(whole.values())
+    waiting = [(0, s, 0) for s in whole]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    laid: list[tuple[str, int]] = []
-    for now in range(period):
+    now = 0
+    while whole:
         while waiting and waiting[0][0] <= now:
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // slots[s]), s, i))
+            heapq.heappush(ready, (-(-(i + 1) * total // whole[s]), s, i))
         _, s, i = heapq.heappop(ready)
-        laid.append((s, i))
-        if i + 1 < slots[s]:
-            heapq.heappush(waiting, ((i + 1) * period // slots[s], s, i + 1))
-    return laid
+        yield s, i
+        heapq.heappush(waiting, ((i + 1) * total // whole[s], s, i + 1))
+        now += 1
 
 
-def root_weights(docs: DataFrame) -> dict[str, float]:
-    """Weights in proportion to the square root of each source's rows, a null source included.
+def pfair_period(slots: Mapping[str, int]) -> list[tuple[str, int]]:
+    """The first ``sum(slots)`` slots, after which whole-number weights repeat."""
+    return list(islice(pfair(slots), sum(slots.values())))
+
+
+def laid_out(weights: Mapping[str, float], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of as many blocks as each source has; the slots of sources that have ended stay empty."""
+    left = sum(n for s, n in blocks.items() if weights.get(s, 0) > 0)
+    for slot, (s, i) in enumerate(pfair(weights) if left else ()):
+        if i < blocks.get(s, 0):
+            yield s, i, slot
+            left -= 1
+            if not left:
+                return
+
+
+def source_rows(docs: DataFrame) -> dict[str, int]:
+    """The rows of each source, a null source included.
 
     One row per source comes to the driver; more than ``MAX_SOURCES`` are refused.
     """
     rows = docs.groupBy(F.coalesce(F.col("source"), F.lit(_NULL)).alias("s")).count().limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: map them to fewer before mixing")
-    return {r["s"]: r["count"] ** 0.5 for r in rows}
+    return {r["s"]: r["count"] for r in rows}
+
+
+def root_weights(docs: DataFrame) -> dict[str, float]:
+    """Weights in proportion to the square root of each source's rows; rules as for :func:`source_rows`."""
+    return {s: n**0.5 for s, n in source_rows(docs).items()}
 
 
 def mix(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
     cells: int = CELLS,
 ) -> DataFrame:
     """``docs`` with ``block`` (number in its source), ``slot`` and ``mix_order``, the order of the mixture.
 
     Blocks are ``block_rows`` documents of a source, in an order by hash of ``doc_id``. While every source has
-    blocks left, each source's blocks in the first t slots differ from t times its weight by less than one. When
-    a source ends, its slots stay empty and the others go on in their proportions, so no document is dropped.
+    blocks left, each source's blocks in the first t slots differ from t times its exact weight by less than one,
+    however many slots there are. The schedule is laid out slot by slot in one task and stored. When a source ends, its slots stay empty and the others go on in their proportions, so no document is dropped.
 
     ``weights`` are by source (None for a null source), by default the square roots of the sources' rows; sources
     without a positive weight come after the rest of the mixture, in slots of their own. Repeated rows and equal
@@ -88,12 +119,18 @@ def mix(
     spark = docs.sparkSession
     docs = without(docs, "block", "slot", "mix_order")
     names = [quoted(c) for c in docs.columns]
+    rows = source_rows(docs)
     if weights is None:
-        weights = root_weights(docs)
-    laid_slots = shares({_NULL if s is None else s: w for s, w in weights.items()}, period)
-    width = max(1, sum(laid_slots.values()))
-    laid = [(s, i, at, laid_slots[s]) for at, (s, i) in enumerate(pfair_period(laid_slots))]
-    plan = spark.createDataFrame(laid, "_source string, _nth long, _at long, _share long")
+        weights = {s: n**0.5 for s, n in rows.items()}
+    weights = {_NULL if s is None else s: w for s, w in weights.items()}
+    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
+
+    def lay(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        laid = laid_out(weights, blocks)
+        while some := list(islice(laid, LAID_ROWS)):
+            yield pd.DataFrame(some, columns=["_source", "block", "_slot"])
+
+    plan = spark.range(0, 1, 1, 1).mapInPandas(lay, "_source string, block long, _slot long")
     key = F.xxhash64("doc_id")
     marked = docs.select(
         *names,
@@ -102,19 +139,12 @@ def mix(
         key.alias("_key"),
     )
     placed = numbered(marked, ["_source"], "_cell", [F.col("_key"), F.col("doc_id"), F.xxhash64("text")], "_n")
-    block = F.floor(F.col("_n") / block_rows)
-    shared = F.broadcast(plan.select("_source", "_share").distinct())  # at most one row per slot of a period
-    placed = (
-        placed.withColumn("block", block)
-        .join(shared, "_source", "left")
-        .withColumn("_nth", F.pmod("block", F.coalesce("_share", F.lit(1))))
-        .join(F.broadcast(plan.drop("_share")), ["_source", "_nth"], "left")
-    )
+    block = F.floor(F.col("_n") / block_rows).cast("long")
+    placed = placed.withColumn("block", block).join(stored(plan, "schedule"), ["_source", "block"], "left")
     # Sources without weight follow after every slot that the others can take.
-    slot = F.floor(F.col("block") / F.col("_share")) * width + F.col("_at")
-    slot = F.coalesce(slot, F.lit(2**40) + F.col("block"))
+    slot = F.coalesce(F.col("_slot"), F.lit(2**40) + F.col("block"))
     return placed.withColumn("slot", slot).select(
-        *names, F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"),
+        *names, "block", "slot",
         (F.col("slot") * block_rows + F.pmod("_n", F.lit(block_rows))).cast("long").alias("mix_order"),
     )
 

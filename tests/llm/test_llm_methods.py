@@ -179,6 +179,23 @@ def test_pfair_deviates_less_than_a_block(weights):
         assert all(abs(seen[x] - t * slots[x] / period) < 1 for x in slots)
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [{"a": 0.7, "b": 0.2, "c": 0.1}, {"hot": 0.6, **{f"s{i:02}": 0.4 / 39 for i in range(39)}}, {"hot": 3.0, **{f"s{i:02}": 1.1**0.5 for i in range(19)}}],
+)
+def test_mix_keeps_the_given_weights_over_many_periods(spark, weights):
+    total, slots = sum(weights.values()), 5000
+    needed = {s: int(slots * w / total) + 2 for s, w in weights.items()}
+    rows = [(i, s, "") for s, n in needed.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    owner = {r.slot: r.source for r in mixing.mix(docs, weights, block_rows=1).select("slot", "source").collect()}
+    assert len(owner) == len(rows)
+    seen = Counter()
+    for t in range(slots):
+        seen[owner[t]] += 1
+        assert all(abs(seen[s] - (t + 1) * w / total) < 1 + 1e-9 for s, w in weights.items())
+
+
 def test_mix_by_brute_force(spark, data):
     found = llm.QUERIES["op4_source_mix"](spark, data).collect()
     rows = Counter(r.source for r in found)
