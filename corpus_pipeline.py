@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sondeo.llm import decontaminate, mixing, ngram_join, quality, sharding
-from sondeo.llm.common import stored
+from sondeo.llm.common import in_file_order, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and their slot in it."""
-    return sharding.shard(docs)
+    """The documents, as read from files, with their shard and their slot in it: by the order of the files."""
+    return sharding.shard(in_file_order(docs, "_position"), order="_position")
 
 
 STAGES = [

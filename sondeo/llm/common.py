@@ -36,6 +36,19 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """Add the 0-based position of each row in the files that ``df`` reads as they are: files by path, then rows."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    upto, starts = 0, []
+    for r in sorted(placed.groupBy("_file").count().collect()):  # one row per file
+        starts.append((r["_file"], upto))
+        upto += r["count"]
+    starts = df.sparkSession.createDataFrame(starts, "_file string, _first long")
+    return placed.join(F.broadcast(starts), "_file").select(
+        *[quoted(c) for c in df.columns], (F.col("_first") + F.col("_row")).alias(name)
+    )
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

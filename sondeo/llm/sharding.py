@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sondeo.llm.common import quoted, stored, without
+from sondeo.llm.common import numbered, quoted, stored, without
 
 SHARDS = 16
 BUNDLES = 4096
@@ -43,19 +43,38 @@ def _group(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(_text(docs)).alias("_g1"), F.xxhash64(F.lit(1), _text(docs)).alias("_g2")]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
+def _marked(docs: DataFrame, columns: list[Column], size: Column) -> DataFrame:
+    crc32 = F.crc32(_text(docs).cast("binary")).cast("long")
+    return docs.select(*columns, *_group(docs), size.alias("size"), crc32.alias("text_crc32"))
+
+
+def _in_order(celled: DataFrame, names: list[Column], starts: DataFrame, shards: int, bundles: int) -> DataFrame:
+    """The rows with their shard, numbered in it by ``_order``: by spans of it, as many pieces in all as bundles."""
+    spans = max(1, bundles // shards)
+    last = celled.agg(F.coalesce(F.max("_order"), F.lit(0))).first()[0]
+    placed = celled.join(F.broadcast(starts.drop("_start")), "_cell").withColumn(
+        "_span", F.coalesce(F.floor(F.col("_order") / (last // spans + 1)), F.lit(-1))
+    )
+    order = [F.col(c) for c in ("_order", "doc_id", "_g1", "_g2")]
+    return numbered(placed, ["shard"], "_span", order, "slot").select(*names, "size", "text_crc32", "shard", "slot")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, order: str | None = None) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Size is the bytes of the text in UTF-8 plus 1. Rows of equal text (null as empty) are in one shard, unless the
     group is larger than a shard in bytes, tokens or rows: then it is split by a hash of ``doc_id`` into quarters of
     a shard or less. Sums of bytes, tokens (words between white space) and rows are near equal by shard.
 
+    With ``order``, a column of whole numbers from 0 with no long gaps and few ties, the slots of a shard follow it and
+    the column is left out of the result; without, they have no order that means anything.
+
     Repeated rows each have a slot of their own; null ids come first among theirs. Input columns with the names of
     the result are replaced. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = without(docs, "size", "text_crc32", "shard", "slot")
-    names = [quoted(c) for c in docs.columns]
+    names = [quoted(c) for c in docs.columns if c != order]
     size = (F.octet_length(_text(docs)) + 1).cast("long")
     # Words begin where a byte of white space does not precede: count them by the white space between.
     words = F.size(F.split(F.translate(_text(docs), "\t\n\x0b\x0c\r", "     "), " +")).cast("long")
@@ -110,12 +129,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
         starts.append((c, home, upto[home]))
         upto[home] += sizes[c][2]
     starts = spark.createDataFrame(starts, "_cell long, shard int, _start long")
+    if order is not None:
+        return _in_order(celled(_marked(docs, [*names, quoted(order).alias("_order")], size), "doc_id"), names, starts, shards, bundles)
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy("doc_id", "_g1", "_g2"))
-    marked = docs.select(
-        *names, *_group(docs), size.alias("size"), F.crc32(_text(docs).cast("binary")).cast("long").alias("text_crc32")
-    )
     return (
-        celled(marked, "doc_id")
+        celled(_marked(docs, names, size), "doc_id")
         .withColumn("_inside", inside)
         .join(F.broadcast(starts), "_cell")
         .select(*names, "size", "text_crc32", "shard", (F.col("_start") + F.col("_inside") - 1).cast("long").alias("slot"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import llm_cases as cases
 
+from sondeo.llm import mixing
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -47,3 +49,24 @@ def test_mixed_order_is_in_the_files(spark, data):
     least = min(rows.values())
     head = Counter(found[: len(rows) * least // 2])
     assert max(head.values()) - min(head.values()) <= 2 * 16
+
+
+def test_slots_follow_the_mixture(spark, data, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    mix, runs = mixing.mix, []
+    sources = sorted({r.source for r in docs.select("source").collect()})
+    for i, weights in enumerate(({s: 1.0 for s in sources}, {s: 1.0 + 8 * n for n, s in enumerate(sources)})):
+        monkeypatch.setattr(mixing, "mix", lambda d, w=weights: mix(d, w, block_rows=1))
+        corpus_pipeline.mixed(spark, docs, data).write.parquet(f"{tmp_path}/{i}")
+        found = corpus_pipeline.sharded(spark, spark.read.parquet(f"{tmp_path}/{i}"), data).collect()
+        assert len(found) == docs.count()
+        order = {r.doc_id: r.mix_order for r in mixing.mix(docs).collect()}
+        shards = defaultdict(list)
+        for r in found:
+            shards[r.shard].append((r.slot, order[r.doc_id]))
+        for rows in shards.values():
+            rows.sort()
+            assert [n for n, _ in rows] == list(range(len(rows)))
+            assert [at for _, at in rows] == sorted(at for _, at in rows)
+        runs.append({r.doc_id: (r.shard, r.slot) for r in found})
+    assert {d: s for d, (s, _) in runs[0].items()} == {d: s for d, (s, _) in runs[1].items()} and runs[0] != runs[1]
