@@ -14,8 +14,11 @@ from sondeo.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    packing,
     quality,
+    resampling,
     sharding,
+    token_alignment,
     token_counts,
     url_filter,
 )
@@ -245,3 +248,22 @@ FROM runs GROUP BY conv_id, segment, perspective
 @query(_CHAT_SQL)
 def op10_chat_views(spark: SparkSession, folder: str) -> DataFrame:
     return chat_views.rotate(table(spark, folder, "conversations"))
+
+
+@query()
+def op11_target_resample(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    drawn = resampling.draw(resampling.weigh(docs, target, keep=["doc_id"]))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, folder, "documents"))
+    placed = packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align(table(spark, folder, "documents"))
