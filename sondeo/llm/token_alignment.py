@@ -14,15 +14,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondeo.llm.common import quoted, stored
 from sondeo.llm.vocabularies import BYTE_BPE, PIECE_BPE, byte_vocabulary, piece_vocabulary
 
 #: Texts are encoded and aligned in batches of about this many bytes, links listed by this many.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 LINKS_AT_ONCE = 1 << 21
+#: In groups of more links than this, equal ids are taken together.
+WIDE = 256
 #: A task sends the counts of its id pairs when it has gathered this many.
 PAIRS_AT_ONCE = 1 << 20
 #: At most this many id pairs with their counts are broadcast at once, 24 bytes each; more go in ranges of A ids.
@@ -57,12 +59,12 @@ class Aligned:
         self.n_a, self.n_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
         self.a, self.b = (np.concatenate([*side, np.zeros(0, np.uint32)]).astype(np.int64) for side in (a, b))
         ends_a, ends_b = np.cumsum(lengths[0][self.a]), np.cumsum(lengths[1][self.b])
-        cuts = np.intersect1d(ends_a, ends_b)  # both sides have the same bytes, so the end of a text is among them
-        self.group_a, self.group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-        # A token of no bytes would end where its group has ended: it belongs to that group.
-        self.n_groups_all = len(cuts)
-        self.size_a = np.bincount(self.group_a, minlength=len(cuts))
-        self.size_b = np.bincount(self.group_b, minlength=len(cuts))
+        # Both sides have the same bytes, so the end of a text is an end on both.
+        self.group_a, last_a = _groups(ends_a, ends_b)
+        self.group_b, _ = _groups(ends_b, ends_a)
+        self.n_groups_all = last_a
+        self.size_a = np.bincount(self.group_a, minlength=self.n_groups_all)
+        self.size_b = np.bincount(self.group_b, minlength=self.n_groups_all)
         last = np.cumsum(self.n_a)[self.n_a > 0] - 1  # the last token of each text that has any
         upto = self.group_a[last]
         with_tokens = np.flatnonzero(self.n_a > 0)
@@ -89,36 +91,60 @@ class Aligned:
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(text, A id, B id, links) in parts; all links of one (text, A id) are in one part, some pairs repeat there.
 
-        Equal ids of a group are taken together first, so a part has about ``LINKS_AT_ONCE`` entries, or as many as
-        one text has B tokens.
+        Equal ids of a wide group are taken together first, so a part has about ``LINKS_AT_ONCE`` entries, or, if
+        that is more, as many as the tokens of one text that equal one A id have in their groups.
         """
-        (group_a, id_a, n_a), (group_b, id_b, n_b) = _runs(self.group_a, self.a), _runs(self.group_b, self.b)
-        order = np.lexsort((id_a, self.text_of[group_a]))
-        group_a, id_a, n_a = group_a[order], id_a[order], n_a[order]
+        wide = self.size_a * self.size_b > WIDE
+        group_a, id_a, n_a = _runs(self.group_a, self.a, wide)
+        group_b, id_b, n_b = _runs(self.group_b, self.b, wide)
         per_group = np.bincount(group_b, minlength=self.n_groups_all)
-        first_b, width = _starts(per_group), per_group[group_a]
-        text = self.text_of[group_a]
-        heads = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(id_a) != 0))[: len(text)])
+        first_b = _starts(per_group)
+        text, width = self.text_of[group_a], per_group[group_a]
         upto = np.cumsum(width)
+        if len(upto) and upto[-1] > LINKS_AT_ONCE:  # several parts: bring the tokens of a (text, A id) together
+            order = np.argsort((text << 32) | id_a, kind="stable")
+            group_a, id_a, n_a, text, width = (x[order] for x in (group_a, id_a, n_a, text, width))
+            upto = np.cumsum(width)
+            cuts = np.append(np.flatnonzero((np.diff(text) != 0) | (np.diff(id_a) != 0)) + 1, len(text))
+        else:
+            cuts = np.array([len(text)])
         start = 0
         while start < len(group_a):
             before = upto[start - 1] if start else 0
-            end = int(np.searchsorted(upto, before + LINKS_AT_ONCE, side="right"))
-            head = heads[np.searchsorted(heads, end, side="right") - 1] if end < len(group_a) else end
-            if head <= start:  # one (text, A id) alone is longer
-                nxt = np.searchsorted(heads, start, side="right")
-                head = heads[nxt] if nxt < len(heads) else len(group_a)
-            w = width[start:head]
-            mine = np.repeat(np.arange(start, head), w)
-            theirs = np.arange(len(mine)) - np.repeat(_starts(w), w) + np.repeat(first_b[group_a[start:head]], w)
+            fits = int(np.searchsorted(upto, before + LINKS_AT_ONCE, side="right"))
+            at = np.searchsorted(cuts, fits, side="right") - 1
+            end = int(cuts[at]) if at >= 0 else 0
+            if end <= start:  # one (text, A id) alone is longer
+                end = int(cuts[np.searchsorted(cuts, start, side="right")])
+            w = width[start:end]
+            mine = np.repeat(np.arange(start, end), w)
+            theirs = np.arange(len(mine)) - np.repeat(_starts(w) - first_b[group_a[start:end]], w)
             yield text[mine], id_a[mine], id_b[theirs], n_a[mine] * n_b[theirs]
-            start = head
+            start = end
+
+
+def _groups(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, int]:
+    """The group of each token by the ends of both sides, and the number of groups; a shared end closes a group."""
+    size = int(own[-1]) + 1 if len(own) else 0
+    marked = np.zeros(size, dtype=bool)
+    marked[other] = True
+    shared = marked[own]
+    # Of several tokens that end at one place (tokens without bytes) the last closes the group.
+    shared &= np.append(np.diff(own) > 0, True)[: len(own)]
+    closed = np.cumsum(shared)
+    return closed - shared, int(closed[-1]) if len(closed) else 0
 
 
-def _runs(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, id), by group, and how often each occurs."""
-    code, n = np.unique((group.astype(np.int64) << 32) | ids, return_counts=True)
-    return code >> 32, code & 0xFFFFFFFF, n
+def _runs(group: np.ndarray, ids: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, id, how often), by group; equal ids are taken together in ``wide`` groups."""
+    if not wide.any():
+        return group, ids, np.ones(len(ids), dtype=np.int64)
+    large = wide[group]
+    code, n = np.unique((group[large] << 32) | ids[large], return_counts=True)
+    groups = np.concatenate([group[~large], code >> 32])
+    order = np.argsort(groups, kind="stable")
+    found = np.concatenate([ids[~large], code & 0xFFFFFFFF]), np.concatenate([np.ones((~large).sum(), dtype=np.int64), n])
+    return groups[order], *(x[order] for x in found)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,17 +172,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[pa.Record
 
 def _encoded(texts: list[str], sides: tuple) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of both sides; none on either for an empty text or one whose tokens do not give its bytes."""
-    none = np.zeros(0, dtype=np.uint32)
     spaced = [" " + t for t in texts]
-    a, b = sides[0].encode(spaced), sides[1].encode(texts)
-    for i, text in enumerate(spaced):
-        raw = text.encode()
-        whole = len(raw) > 1 and all(
-            b"".join(map(side.token_bytes.__getitem__, ids[i].tolist())) == raw for side, ids in zip(sides, (a, b))
-        )
-        if not whole:
-            a[i] = b[i] = none
-    return a, b
+    raw = [t.encode() for t in spaced]
+    found = [sides[0].encode(spaced), sides[1].encode(texts)]
+    whole = np.array([len(r) > 1 for r in raw])
+    for side, ids in zip(sides, found):
+        whole &= _spelled_out(ids, side.token_bytes, raw)
+    none = np.zeros(0, dtype=np.uint32)
+    return tuple([x if keep else none for x, keep in zip(ids, whole)] for ids in found)
+
+
+def _spelled_out(ids: list[np.ndarray], token_bytes: list[bytes], raw: list[bytes]) -> np.ndarray:
+    """Whether the bytes of the ids of a text are the bytes of the text."""
+    return np.array([b"".join(map(token_bytes.__getitem__, x.tolist())) == r for x, r in zip(ids, raw)])
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
@@ -196,16 +224,15 @@ def pair_counts(aligned: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
             return _summed(np.concatenate([c for c, _ in both]), np.concatenate([m for _, m in both]))
 
         def rows() -> pa.RecordBatch:
-            columns = [pa.array(codes >> 32), pa.array(codes & 0xFFFFFFFF), pa.array(n)]
+            columns = [pa.array(x) for x in (*np.divmod(codes, len(lengths[1])), n)]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
 
         for batch in _chunks(batches, "a_ids"):
             copies = np.asarray(batch.column("copies"), dtype=np.int64)
             for text, a, b, _ in Aligned(_ids(batch.column("a_ids")), _ids(batch.column("b_ids")), lengths).links():
-                order = np.lexsort((_pairs(a, b), text))
-                text, code = text[order], _pairs(a, b)[order]
-                first = np.append(True, (np.diff(code) != 0) | (np.diff(text) != 0))[: len(code)]
-                waiting.append(_summed(code[first], copies[text[first]]))
+                code = np.unique((text * len(lengths[0]) + a) * len(lengths[1]) + b)  # once for each text
+                text, pair = np.divmod(code, len(lengths[0]) * len(lengths[1]))
+                waiting.append(_summed(pair, copies[text]))
                 if sum(len(c) for c, _ in waiting) > PAIRS_AT_ONCE:
                     codes, n = added()
                     if len(codes) > PAIRS_AT_ONCE:
@@ -265,6 +292,10 @@ def _judged(aligned: DataFrame, block: tuple, byte_bpe: str, piece_bpe: str) ->
     return aligned.select("text_key", "a_ids", "b_ids").mapInArrow(judged, "text_key binary, n_best long, count_sum long")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256)).alias("text_key")
+
+
 def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: the key, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` and
     ``groups_sha256``.
@@ -280,9 +311,9 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE,
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_key = docs.select(quoted(key).alias(key), F.unhex(F.sha2(text, 256)).alias("text_key"), text.alias("text"))
-    texts = with_key.groupBy("text").agg(F.first("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"))
-    aligned = stored(aligned_texts(texts.select("text_key", "copies", "text"), byte_bpe, piece_bpe), "aligned")
+    with_key = docs.select(quoted(key).alias(key), _digest(text), text.alias("text"))
+    texts = with_key.groupBy("text").agg(F.count(F.lit(1)).alias("copies")).select(_digest(F.col("text")), "copies", "text")
+    aligned = stored(aligned_texts(texts, byte_bpe, piece_bpe), "aligned")
     counts = stored(pair_counts(aligned, byte_bpe, piece_bpe), "pair-counts")
     parts = [stored(_judged(aligned, block, byte_bpe, piece_bpe), "judged") for block in _blocks(spark, counts)]
     judged = parts[0]
