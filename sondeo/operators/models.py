@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 import math
-import random
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.functions.schema import numeric_columns
-from sondeo.operators import metrics
+from sondeo.operators import metrics, search
 from sondeo.operators.features import MISSING_CATEGORY, encode, standard_scale
 from sondeo.operators.ordering import assign_folds, permuted
 from sondeo.workspace import cut_lineage
@@ -272,31 +271,31 @@ def train(data: TrainingData, name: str, params: dict | None = None, parallelism
     return TrainedModel(name, merged, model, data, frame, round(mean, 4), round(spread, 4))
 
 
-def draw_params(name: str, rng: random.Random) -> dict:
-    ranges = SEARCH[next(f for f in SEARCH if name.startswith(f))]
-    drawn = {}
-    for parameter, (low, high, kind) in ranges.items():
-        if kind == "int":
-            drawn[parameter] = rng.randint(low, high)
-        elif kind == "log":
-            drawn[parameter] = math.exp(rng.uniform(math.log(low), math.log(high)))
-        else:
-            drawn[parameter] = rng.uniform(low, high)
-    return drawn
+def search_ranges(name: str) -> dict[str, search.Range]:
+    return SEARCH[next(f for f in SEARCH if name.startswith(f))]
 
 
 def tune(data: TrainingData, name: str, trials: int = 30, seed: int = SEED, parallelism: int = 2) -> TrainedModel:
-    """Seeded random search over the declared ranges; the best mean is trained in full."""
+    """Search the declared ranges by the densities of past trials; the best fold mean is trained in full.
+
+    Half of ``parallelism`` trials, one at least, are in flight, each with its folds fitted by concurrent jobs. A trial
+    that fails or has no score counts as one of the worst.
+    """
     name = resolve_name(name, data.task)
-    rng = random.Random(seed)
-    best, best_mean = dict(DEFAULTS[name]), -math.inf
-    for _ in range(trials):
-        params = {**DEFAULTS[name], **draw_params(name, rng)}
-        scores = [s for _, s, _ in cross_validate(data, name, params, parallelism, False) if s is not None]
-        mean = sum(scores) / len(scores) if scores else -math.inf
-        if mean > best_mean:
-            best, best_mean = params, mean
-    return train(data, name, best, parallelism)
+
+    def fold_mean(params: dict) -> float | None:
+        try:
+            folds = cross_validate(data, name, {**DEFAULTS[name], **params}, parallelism, False)
+        except Exception as reason:  # noqa: BLE001 - one failing trial must not end the search
+            LOG.warning("trial of %s failed: %s", name, reason)
+            return None
+        scores = [s for _, s, _ in folds if s is not None]
+        return sum(scores) / len(scores) if scores else None
+
+    tried = search.maximise(fold_mean, search_ranges(name), trials, seed, max(1, parallelism // 2))
+    scored = [t for t in tried if t[1] is not None]
+    best = max(scored, key=lambda t: t[1])[0] if scored else {}
+    return train(data, name, {**DEFAULTS[name], **best}, parallelism)
 
 
 def compete(

@@ -240,12 +240,13 @@ def lagged(
     return (
         sent.groupBy(*keys, "_to")
         .agg(
+            F.max(own).alias("_own"),
             F.max(F.when(own, F.col(row_id))).alias(row_id),
             F.max(F.when(own, F.col(column))).alias(column),
             *[F.max(F.when(F.col("_k") == k, F.col(column))).alias(f"{column}_lag_{k}") for k in offsets],
         )
-        .where(F.col(row_id).isNotNull())
-        .drop("_to")
+        .where("_own")
+        .drop("_to", "_own")
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from sondeo.functions.schema import numeric_columns
-from sondeo.operators import clean, explore, features, gates, models, profile, selection
+from sondeo.operators import attribution, clean, explore, features, gates, models, profile, selection
 from sondeo.workspace import cut_lineage
 
 
@@ -25,6 +25,7 @@ class Analysis:
     lineage: DataFrame
     model: models.TrainedModel | None = None
     ranking: DataFrame | None = None
+    importance: DataFrame | None = None
     recommendations: DataFrame | None = None
 
 
@@ -35,6 +36,13 @@ def engineered(cleaned: DataFrame, target: str, keys: list[str]) -> tuple[DataFr
     return features.transform_with_origins(cleaned, target, pairs, keys)
 
 
+def _importance(trained: models.TrainedModel) -> DataFrame:
+    """Mean absolute attributions of tree models; of others, the loss of score when a feature is shuffled."""
+    if attribution.has_trees(trained.model):
+        return attribution.attribution_importance(trained.model, trained.data)
+    return models.permutation_importance(trained)
+
+
 def analyse(
     raw: DataFrame,
     target: str,
@@ -75,7 +83,6 @@ def analyse(
     result.model, result.ranking = models.compete(data, model_names, trials, model_params)
     evaluation = result.model.evaluation()
     result.gates = checks.unionByName(gates.model_gate(evaluation))
-    result.recommendations = gates.recommendations(
-        raw.sparkSession, result.model.importance(), evaluation, log
-    )
+    result.importance = _importance(result.model)
+    result.recommendations = gates.recommendations(raw.sparkSession, result.importance, evaluation, log)
     return result

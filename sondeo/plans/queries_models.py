@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondeo.operators import clean, gates, metrics, models
+from sondeo.operators import attribution, clean, gates, metrics, models
 from sondeo.operators.ordering import mixed_hash
 from sondeo.plans import analysis
 from sondeo.plans.catalog import query, table
@@ -199,6 +199,35 @@ def permutation_importance(spark, folder):
     return found.select("feature", _within("importance", -1.0, 1.0).alias("in_range"))
 
 
+def _document_forest(spark, folder):
+    """A forest with its defaults on all labelled documents, without folds."""
+    data = _document_data(spark, folder)
+    estimator = models.build_estimator("random_forest_clf", models.DEFAULTS["random_forest_clf"], data.n, len(data.classes))
+    return estimator.fit(data.rows), data
+
+
+@query()
+def tree_attributions(spark, folder):
+    model, data = _document_forest(spark, folder)
+    found = attribution.attributions(model, data.rows, data.key)
+    each = [F.get("attribution", F.lit(i)).alias(f) for i, f in enumerate(data.features)]
+    return found.select("doc_id", "output", "base", *each, "total")
+
+
+@query()
+def attribution_importance(spark, folder):
+    return attribution.attribution_importance(*_document_forest(spark, folder))
+
+
+# Whatever the trees are, base and attributions add up to the probability of class 1.
+@query("SELECT l.doc_id, 0::DOUBLE AS gap FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def attribution_gap(spark, folder):
+    model, data = _document_forest(spark, folder)
+    scored = models.with_scores(model.transform(data.rows)).select("doc_id", F.get("scores", F.lit(1)).alias("score"))
+    found = attribution.attributions(model, data.rows, data.key).join(scored, "doc_id")
+    return found.select("doc_id", F.abs(F.round(F.col("total") - F.col("score"), 9)).alias("gap"))
+
+
 # Boosting takes its rounds one after the other: 20 here, 100 by default.
 _ROUNDS = {"n_estimators": 20}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondeo.functions.timestamps import day, wall_micros
-from sondeo.operators import ordering, series
+from sondeo.operators import ordering, rolling, series
 from sondeo.plans.catalog import query, table
 
 _DAY = 86_400_000_000
@@ -21,16 +21,8 @@ def _events(spark, folder):
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)"""
 )
 def rolling_7d(spark, folder):
-    measures = {
-        "n_7d": F.count("*"),
-        "mean_7d": F.avg("value"),
-        "min_7d": F.min("value"),
-        "max_7d": F.max("value"),
-        "std_7d": F.stddev_samp("value"),
-    }
-    rolled = ordering.rolling_by_time(
-        _events(spark, folder), ["user_id"], wall_micros("ts"), 7 * _DAY, measures
-    )
+    stats = {"n_7d": "rows", "mean_7d": "avg", "min_7d": "min", "max_7d": "max", "std_7d": "std"}
+    rolled = rolling.rolling_summary(_events(spark, folder), ["user_id"], wall_micros("ts"), 7 * _DAY, "value", stats)
     return rolled.select(
         "event_id", "n_7d", F.round("mean_7d", 9).alias("mean_7d"), "min_7d", "max_7d",
         F.round("std_7d", 4).alias("std_7d"),
@@ -42,8 +34,8 @@ def rolling_7d(spark, folder):
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)"""
 )
 def rolling_30d(spark, folder):
-    measures = {"n_30d": F.count("*"), "mean_30d": F.avg("value")}
-    rolled = ordering.rolling_by_time(_events(spark, folder), ["user_id"], wall_micros("ts"), 30 * _DAY, measures)
+    stats = {"n_30d": "rows", "mean_30d": "avg"}
+    rolled = rolling.rolling_summary(_events(spark, folder), ["user_id"], wall_micros("ts"), 30 * _DAY, "value", stats)
     return rolled.select("event_id", "n_30d", F.round("mean_30d", 9).alias("mean_30d"))
 
 
