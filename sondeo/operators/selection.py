@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sondeo.functions.schema import numeric_columns
 from sondeo.operators.explore import correlation_pairs
 from sondeo.operators.features import MISSING_CATEGORY, quantile_bin
+from sondeo.operators.neighbours import neighbour_information
 from sondeo.operators.quantiles import between_cuts, fit_quantiles
 
 BINS = 10
@@ -40,17 +41,15 @@ def mutual_information(
         coded, meanings = between_cuts(cells, "v", sorted(set(edges.get(f, []))))
         bin_of = F.get(F.array(*[F.lit(m // 2) for m in meanings]), F.col("code").cast("int"))
         branches.append(coded.select("feature", bin_of.alias("bin"), "label"))
-    joint = (
-        reduce(DataFrame.unionAll, branches)
-        .groupBy("feature", "bin", "label")
-        .agg(F.count("*").cast("double").alias("n"))
-    )
-    of_bin, of_label = W.partitionBy("feature", "bin"), W.partitionBy("feature", "label")
-    total = F.sum("n").over(W.partitionBy("feature"))
-    term = F.col("n") / total * F.ln(
-        F.col("n") * total / (F.sum("n").over(of_bin) * F.sum("n").over(of_label))
-    )
-    scores = joint.withColumn("term", term).groupBy("feature").agg(F.greatest(F.sum("term"), F.lit(0.0)).alias("mi"))
+    # Over N rows the information is ln N + (sum of n ln n over cells, less that over bins and over labels) / N.
+    cells = reduce(DataFrame.unionAll, branches).groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
+    feature, bin_, label_ = (F.col(c) for c in ("feature", "bin", "label"))
+    sides = cells.groupingSets(
+        [[feature, bin_, label_], [feature, bin_], [feature, label_], [feature]], feature, bin_, label_
+    ).agg(F.sum("n").cast("double").alias("n"), F.grouping_id().alias("side"))
+    total, part = F.max(F.when(F.col("side") == 3, F.col("n"))), F.col("n") * F.ln("n")
+    signed = F.when(F.col("side") == 0, part).when(F.col("side") == 3, F.lit(0.0)).otherwise(-part)
+    scores = sides.groupBy("feature").agg(F.greatest(F.ln(total) + F.sum(signed) / total, F.lit(0.0)).alias("mi"))
     # One row per feature, needed by several later steps.
     return df.sparkSession.createDataFrame(scores.collect(), "feature string, mi double")
 
@@ -83,13 +82,21 @@ def select_features(
     most: int = 50,
     least_mi: float = 0.001,
     continuous_target: bool = False,
+    by_neighbours: bool = False,
 ) -> DataFrame:
     """(feature, mi, rank): informative, non-redundant features, best first.
 
-    When none is informative the first ten of the ranking are kept.
+    When none is informative the first ten of the ranking are kept. Information is estimated from quantile bins, or,
+    for a class and ``by_neighbours``, from nearest neighbours.
     """
     features = features or numeric_columns(df, [target])
-    scores = mutual_information(df, features, target, continuous_target=continuous_target)
+    if by_neighbours and continuous_target:
+        raise ValueError("nearest neighbours are compared within a class; a continuous target has none")
+    if by_neighbours:
+        found = neighbour_information(df, features, target).collect()  # one row per feature, needed twice below
+        scores = df.sparkSession.createDataFrame(found, "feature string, mi double")
+    else:
+        scores = mutual_information(df, features, target, continuous_target=continuous_target)
     kept = scores.join(redundant_features(df, features, scores), "feature", "left_anti")
     # One row per feature: the ranking window is as wide as the schema.
     ranked = kept.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mi"), "feature")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondeo.operators import features, ordering, selection
+from sondeo.operators import features, neighbours, ordering, selection
 from sondeo.operators.quantiles import fit_quantiles
-from sondeo.plans.catalog import query, table
+from sondeo.plans.catalog import query, table, union_sql
 from sondeo.plans.inputs import DIRTY_ORDERS_SQL, dirty_orders
 from sondeo.plans.queries_explore import RELATED_COLUMNS, RELATED_SQL, corr_sql, related
 
@@ -168,6 +168,62 @@ def select_features(spark, folder):
     return selection.select_features(_banded(spark, folder), "band", _SELECT_FEATURES)
 
 
+def _neighbour_sql(names: list[str], source: str, target: str) -> str:
+    """Nearest-neighbour information as tables; the last one is ``nm`` (feature, mi)."""
+    k, rows = neighbours.NEIGHBOURS, f"SELECT coalesce(CAST({target} AS VARCHAR), 'nan') AS label, * FROM {source}"
+    beside = " UNION ALL ".join(
+        f"SELECT feature, label, v, need, n, abs({side}(v, {i}) OVER o - v) AS d, {side}(n, {i}) OVER o AS more FROM w WINDOW o AS (PARTITION BY feature, label ORDER BY v)"
+        for side in ("lag", "lead") for i in range(1, k + 1)
+    )
+    return f"""
+labelled AS ({rows}),
+sizes AS (SELECT label, count(*) AS size FROM labelled GROUP BY label HAVING count(*) > 1),
+w AS (SELECT feature, label, v, count(*) AS n, least({k}, any_value(size) - 1) AS need FROM (
+  {union_sql("SELECT '{c}' AS feature, label, CAST(coalesce({c}, 0) AS DOUBLE) AS v FROM labelled", names)}) JOIN sizes USING (label) GROUP BY feature, label, v),
+beside AS (SELECT feature, label, v, need, n, d, sum(more) AS more FROM ({beside}) WHERE d IS NOT NULL GROUP BY ALL),
+reached AS (SELECT a.feature, a.label, a.v, a.d FROM beside a JOIN beside b ON a.feature = b.feature AND a.label = b.label AND a.v = b.v AND b.d <= a.d
+  GROUP BY a.feature, a.label, a.v, a.d, a.n, a.need HAVING sum(b.more) + a.n - 1 >= a.need),
+nearest AS (SELECT w.*, CASE WHEN n - 1 >= need THEN 0 ELSE (SELECT min(d) FROM reached r WHERE r.feature = w.feature AND r.label = w.label AND r.v = w.v) END AS r FROM w),
+upto AS (SELECT feature, v, sum(n) AS here, sum(sum(n)) OVER (PARTITION BY feature ORDER BY v) AS upto FROM w GROUP BY feature, v),
+within AS (SELECT q.*, CASE WHEN r = 0 THEN e.here ELSE h.upto - coalesce(l.upto, 0) END AS m
+  FROM nearest q JOIN upto e ON q.feature = e.feature AND q.v = e.v
+  ASOF LEFT JOIN upto h ON q.feature = h.feature AND q.v + q.r > h.v
+  ASOF LEFT JOIN upto l ON q.feature = l.feature AND q.v - q.r >= l.v),
+psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - {neighbours.EULER} AS p
+  FROM range(1, (SELECT CAST(sum(size) AS BIGINT) + 1 FROM sizes)) t(i)),
+of_labels AS (SELECT sum(size) AS total, sum(size * p) AS labels FROM sizes JOIN psi ON i = size),
+nm AS (SELECT feature, greatest(any_value(t.p) + (sum(n * (a.p - b.p)) - any_value(labels)) / any_value(total), 0) AS mi
+  FROM within JOIN psi a ON a.i = CASE WHEN r = 0 THEN n ELSE need END JOIN psi b ON b.i = m, of_labels JOIN psi t ON t.i = total GROUP BY feature)"""
+
+
+_PRICED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"WITH {_neighbour_sql(_PRICED, 'lineitem', 'l_returnflag')} SELECT feature, round(mi, 6) AS mi FROM nm")
+def neighbour_info(spark, folder):
+    scores = neighbours.neighbour_information(table(spark, folder, "lineitem"), _PRICED, "l_returnflag")
+    return scores.withColumn("mi", F.round("mi", 6))
+
+
+_LENGTHS = ["n_chars", "doc_id", "pages"]
+
+
+@query(
+    f"""WITH joined AS (SELECT l.quality, d.n_chars, d.doc_id, d.n_chars // 400 AS pages FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+    {_neighbour_sql(_LENGTHS, "joined", "quality")},
+    pairs AS ({" UNION ALL ".join(corr_sql(x, y, "joined") for i, x in enumerate(_LENGTHS) for y in _LENGTHS[i + 1:])}),
+    lost AS (SELECT CASE WHEN y.mi < x.mi THEN col_b ELSE col_a END AS feature
+      FROM pairs JOIN nm x ON x.feature = col_a JOIN nm y ON y.feature = col_b WHERE abs(correlation) > 0.95),
+    ranked AS (SELECT feature, mi, row_number() OVER (ORDER BY mi DESC, feature) AS rank FROM nm WHERE feature NOT IN (SELECT feature FROM lost))
+    SELECT feature, round(mi, 4) AS mi, rank FROM ranked WHERE mi > 0.001 OR (SELECT max(mi) FROM ranked) <= 0.001"""
+)
+def select_by_neighbours(spark, folder):
+    pages = F.floor(F.col("n_chars") / 400).alias("pages")
+    lengths = table(spark, folder, "documents").select("doc_id", "n_chars", pages)
+    joined = table(spark, folder, "labels").join(lengths, "doc_id").select("quality", *_LENGTHS)
+    return selection.select_features(joined, "quality", _LENGTHS, by_neighbours=True)
+
+
 @query(
     f"""WITH {RELATED_SQL}, pairs AS ({" UNION ALL ".join(corr_sql(c, "l_extendedprice") for c in ("l_quantity", "net", "gappy", "constant"))})
     SELECT col_a AS feature, round(correlation, 4) AS correlation FROM pairs WHERE abs(correlation) > 0.95"""
