@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,72 +21,82 @@ from sondeo.operators.quantiles import fit_quantiles, quantile_rows
 from sondeo.workspace import broadcast_if_small
 
 
+# A sample of this many rows places the origin; it bears on rounding only.
+ORIGIN_ROWS = 1000
+
+
+@dataclass
+class Products:
+    """Sums over all rows of products of columns, whose values are taken from an origin, absent ones as 0.
+
+    ``both``: rows with both columns; ``values[a, b]``, ``squares[a, b]``: sums of a and of its squares where b is
+    present; ``cross``: sums of a times b; ``scale``: largest magnitudes.
+    """
+
+    both: np.ndarray
+    values: np.ndarray
+    squares: np.ndarray
+    cross: np.ndarray
+    scale: np.ndarray
+
+
 def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(col_a, col_b, correlation) over pairwise-complete rows; NULL where undefined.
 
-    Two scans, whatever the number of columns. The first finds means, the second the Gram
-    matrix of a vector per row: centred values, their squares, and presence flags of the
-    columns with gaps. All pairwise-complete sums are entries of that matrix.
+    One scan, whatever the number of columns: all pairwise-complete sums are products of the blocks that the rows
+    arrive in, see :class:`Products`.
     """
     columns = sorted({c for pair in pairs for c in pair})
-    known = _centres(df, columns) if columns else {}
-    gram, at = _gram(df, columns, known) if known else (None, {})
-    rows = [(a, b, i, _correlation_of(a, b, known, gram, at)) for i, (a, b) in enumerate(pairs)]
+    at = {c: i for i, c in enumerate(columns)}
+    sums = _products(df, columns) if columns else None
+    rows = [(a, b, i, _correlation_of(at[a], at[b], sums) if sums else None) for i, (a, b) in enumerate(pairs)]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, pair int, correlation double")
 
 
-def _vector(df: DataFrame, parts: list[Column]) -> DataFrame:
-    return df.select(array_to_vector(F.array(*parts)).alias("v"))
-
-
-def _centres(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per column: values, mean, and the largest magnitude; nothing for an empty table."""
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    present = [F.col(c).isNotNull().cast("double") for c in columns]
-    summary = Summarizer.metrics("count", "sum", "max").summary(F.col("v"))
-    found = _vector(df, [*values, *present, *map(F.abs, values)]).agg(summary.alias("s")).select("s.*").first()
-    if not found or not found["count"]:
-        return {}
-    k, sums, largest = len(columns), found["sum"].toArray(), found["max"].toArray()
-    return {
-        c: {
-            "gaps": sums[k + i] < found["count"],
-            "n": int(sums[k + i]),
-            "mean": float(sums[i] / sums[k + i]) if sums[k + i] else 0.0,
-            "scale": float(largest[2 * k + i]),
-        }
-        for i, c in enumerate(columns)
-    }
-
-
-def _gram(df: DataFrame, columns: list[str], known: dict[str, dict]) -> tuple[np.ndarray, dict[tuple, int]]:
-    """The Gram matrix and the place in it of each column's value, square and presence, and of the constant 1."""
-    parts: dict[tuple, Column] = {("one",): F.lit(1.0)}
-    for c in columns:
-        centred = F.coalesce(F.col(c).cast("double") - F.lit(known[c]["mean"]), F.lit(0.0))
-        parts |= {("value", c): centred, ("square", c): centred * centred}
-        if known[c]["gaps"]:
-            parts["present", c] = F.col(c).isNotNull().cast("double")
-    rows = MLUtils.convertVectorColumnsFromML(_vector(df, list(parts.values())), "v")
-    return RowMatrix(rows).computeGramianMatrix().toArray(), {name: i for i, name in enumerate(parts)}
-
-
-def _correlation_of(a: str, b: str, known: dict[str, dict], gram: np.ndarray | None, at: dict[tuple, int]) -> float | None:
-    if gram is None:
+def _products(df: DataFrame, columns: list[str]) -> Products | None:
+    """The products of all pairs of columns; None for an empty table. A task sends one row per column and kind."""
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sample = numbers.limit(ORIGIN_ROWS).toArrow()
+    if not sample.num_rows:
         return None
-    here = {c: at.get(("present", c), at["one",]) for c in (a, b)}
-    x, y = at["value", a], at["value", b]
-    n = gram[here[a], here[b]]
+    k = len(columns)
+    origin = np.array([pc.mean(c).as_py() or 0.0 for c in sample.columns])
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, largest = np.zeros((4, k, k)), np.zeros(k)
+        for batch in batches:
+            absent = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns])
+            values = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            largest = np.maximum(largest, np.abs(values).max(axis=0, initial=0.0))
+            here = (~absent).astype(float)
+            values = np.where(absent, 0.0, values - origin)
+            total += np.stack([here.T @ here, values.T @ here, (values * values).T @ here, values.T @ values])
+        rows = [*total.reshape(4 * k, k), largest]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(rows)), pa.int32()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["line", "sums"]
+        )
+
+    parts = numbers.mapInArrow(multiplied, "line int, sums array<double>").select("line", F.posexplode("sums"))
+    # Sums add up; of magnitudes, the last line, the largest counts.
+    summed = parts.groupBy("line", "pos").agg(F.when(F.first("line") < 4 * k, F.sum("col")).otherwise(F.max("col")).alias("x"))
+    found = np.zeros((4 * k + 1, k))
+    cells = summed.toArrow()  # 4 k^2 + k numbers for k columns
+    found[cells["line"].to_numpy(), cells["pos"].to_numpy()] = cells["x"].to_numpy()
+    return Products(*found[: 4 * k].reshape(4, k, k), found[4 * k])
+
+
+def _correlation_of(a: int, b: int, sums: Products) -> float | None:
+    n = sums.both[a, b]
     if not n:
         return None
-    sx, sy = gram[x, here[b]], gram[here[a], y]
-    spread_x = gram[at["square", a], here[b]] - sx * sx / n
-    spread_y = gram[here[a], at["square", b]] - sy * sy / n
-    # A column that only varies by rounding of its mean is constant.
-    noise = [n * (1e-13 * known[c]["scale"]) ** 2 for c in (a, b)]
+    sx, sy = sums.values[a, b], sums.values[b, a]
+    spread_x = sums.squares[a, b] - sx * sx / n
+    spread_y = sums.squares[b, a] - sy * sy / n
+    # A column that only varies by rounding is constant.
+    noise = [n * (1e-13 * sums.scale[c]) ** 2 for c in (a, b)]
     if spread_x <= noise[0] or spread_y <= noise[1]:
         return None
-    r = (gram[x, y] - sx * sy / n) / math.sqrt(spread_x * spread_y)
+    r = (sums.cross[a, b] - sx * sy / n) / math.sqrt(spread_x * spread_y)
     return float(max(-1.0, min(1.0, r)))
 
 

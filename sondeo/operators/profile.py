@@ -288,7 +288,7 @@ def worst_missing(df: DataFrame, k: int = 5) -> DataFrame:
 def validation_warnings(df: DataFrame, target: str, max_missing: float = 0.5) -> DataFrame:
     """Soft checks as rows: absent target, columns mostly missing. Empty input raises."""
     if not df.columns or df.isEmpty():
-        raise ValueError("Dataset is empty!")
+        raise ValueError("the table has no columns or no rows to check")
     warnings = missing_rates(df).where(F.col("missing_pct") > max_missing).select(
         F.lit("mostly_missing").alias("warning"), "column"
     )

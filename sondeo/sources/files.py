@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,34 +20,39 @@ FORMATS = {
 }
 
 
-def _documents(first: str | None) -> bool:
-    """True if a JSON file that starts with this line is one document, not a record a line."""
-    try:
-        return first is not None and not isinstance(json.loads(first), dict)
-    except ValueError:
-        return True
+def _documents(first: str | None, has_records: bool) -> bool:
+    """True if a JSON file is one document, not a record a line.
+
+    An array and a lone brace begin a document. Anything else does so only if no line of the file is a record: a
+    broken first line among records is a broken record.
+    """
+    start = (first or "").strip()
+    return bool(start) and (start[0] == "[" or start == "{" or not has_records)
 
 
 def _json_layouts(spark: SparkSession, path: str, listing: dict) -> dict[bool, list[str]]:
     """Files below ``path`` by layout: whole documents (True) or records by line (False).
 
-    Every file is judged by its own first line that is not blank. One row per file comes to the driver.
+    Every file is judged by its own lines. One row per file comes to the driver.
     """
     lines = spark.read.options(**listing).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("place"),
-        "value",
+        F.trim("value", F.lit(" \t\r")).alias("value"),
+    )
+    record = F.col("value").startswith("{") & F.col("value").endswith("}") & F.get_json_object("value", "$").isNotNull()
+    judged = lines.where(F.length("value") > 0).groupBy("file").agg(
+        F.min_by("value", "place").alias("first"), F.max(F.coalesce(record, F.lit(False))).alias("records")
     )
-    firsts = lines.where(F.length(F.trim("value")) > 0).groupBy("file").agg(F.min_by("value", "place").alias("first"))
     layouts: dict[bool, list[str]] = {}
-    for row in firsts.orderBy("file").collect():
-        layouts.setdefault(_documents(row["first"]), []).append(row["file"])
+    for row in judged.orderBy("file").collect():
+        layouts.setdefault(_documents(row["first"], row["records"]), []).append(row["file"])
     return layouts
 
 
 def _reader(spark: SparkSession, extension: str, schema: T.StructType | str | None, options: dict):
     if extension not in FORMATS:
-        raise ValueError(f"Unsupported file format: {extension}")
+        raise ValueError(f"no reader is known for files that end in {extension!r}")
     fmt, fixed = FORMATS[extension]
     reader = spark.read.format(fmt).options(**{**fixed, **options})
     if schema is not None:

@@ -24,7 +24,7 @@ def test_formats_by_extension(spark, tmp_path):
     assert a.where("y IS NULL").count() == 1
     assert files.load(spark, str(tmp_path / "b.tsv")).first()["y"] == "a"
     assert [files.load(spark, str(tmp_path / f"{n}.json")).count() for n in "cde"] == [2, 3, 2]
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no reader"):
         files.load(spark, "table.xlsx")
 
 
@@ -217,6 +217,16 @@ def test_versions(spark, tmp_path):
     assert tables.current_version(spark, base, "k") == 0
 
 
+def test_a_broken_line_leaves_the_other_records(spark, tmp_path):
+    (tmp_path / "broken.json").write_text('{"a": 1, "b"\n' + "".join(f'{{"a": {i}}}\n' for i in range(2, 1001)))
+    found = files.load(spark, str(tmp_path / "broken.json"), schema="a long")
+    assert sorted(r["a"] for r in found.where("a IS NOT NULL").collect()) == list(range(2, 1001)) and found.count() == 1000
+    (tmp_path / "pretty.json").write_text('{\n "a": 1,\n "b": [\n  {"c": 2}\n ]\n}')
+    assert files.load(spark, str(tmp_path / "pretty.json")).select("a").collect()[0]["a"] == 1
+    (tmp_path / "open.json").write_text('{"a": 5,\n "b": 6\n}')
+    assert [tuple(r) for r in files.load(spark, str(tmp_path / "open.json")).collect()] == [(5, 6)]
+
+
 def test_json_layouts_may_be_mixed_in_a_folder(spark, tmp_path):
     folder = tmp_path / "mixed.json"
     folder.mkdir()
