@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sondeo.operators.profile import missing_rates
+from sondeo.workspace import MEASURES_PER_SCAN
 
 # Thresholds per stage.
 DEFAULT_GATES = {
@@ -70,6 +71,57 @@ def cleaning_gate(cleaned: DataFrame, raw: DataFrame | None = None, settings: di
     return check(values, "data_cleaning", rules)
 
 
+class ObservedGates:
+    """The collection or cleaning gate from figures that the job which writes the table gathers on its way.
+
+    ``rows`` passes the table on unchanged; write or aggregate that. :meth:`gate` then needs no job of its own. It waits
+    for the first action on ``rows``; a table that is never used has no gate. At most :data:`workspace.MEASURES_PER_SCAN`
+    columns are watched by one observation, wider tables have several.
+    """
+
+    def __init__(self, df: DataFrame, settings: dict | None = None):
+        self.settings, self.columns = settings, df.columns
+        self._observations = []
+        for start in range(0, max(1, len(df.columns)), MEASURES_PER_SCAN):
+            chunk = df.columns[start : start + MEASURES_PER_SCAN]
+            seen = Observation()
+            measures = [F.count_if(F.col(c).isNull()).alias(f"gaps_{i}") for i, c in enumerate(chunk)]
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *measures)
+            self._observations.append((chunk, seen))
+        self.rows = df
+
+    def figures(self) -> tuple[int, dict[str, int]]:
+        """Rows, and missing values by column."""
+        found = [(chunk, seen.get) for chunk, seen in self._observations]
+        gaps = {c: got[f"gaps_{i}"] for chunk, got in found for i, c in enumerate(chunk)}
+        return found[0][1]["rows"], gaps
+
+    def collection_gate(self) -> DataFrame:
+        limits = gate_settings(self.settings)["data_collection"]
+        values = _one_row(self.rows, rows=self.figures()[0], columns=len(self.columns))
+        rules = {"rows": ("min", limits.get("min_rows", 10)), "columns": ("min", limits.get("min_columns", 2))}
+        return check(values, "data_collection", rules)
+
+    def cleaning_gate(self, raw: ObservedGates | None = None) -> DataFrame:
+        """As :func:`cleaning_gate`; ``raw`` was watched in the same job or an earlier one."""
+        limits = gate_settings(self.settings)["data_cleaning"]
+        rows, gaps = self.figures()
+        worst = max((g / rows for g in gaps.values()), default=0.0) if rows else 0.0
+        figures = {"max_missing_pct": worst}
+        rules = {"max_missing_pct": ("max", limits.get("max_missing_pct_after", 0.05))}
+        if raw is not None and "min_rows_retained_pct" in limits:
+            before = raw.figures()[0]
+            figures["rows_retained_pct"] = rows / before if before else None
+            rules["rows_retained_pct"] = ("min", limits["min_rows_retained_pct"])
+        values = _one_row(self.rows, **figures)
+        return check(values.select(*[F.round(c, 4).alias(c) for c in figures]), "data_cleaning", rules)
+
+
+def _one_row(df: DataFrame, **figures: float | None) -> DataFrame:
+    row = tuple(None if v is None else float(v) for v in figures.values())
+    return df.sparkSession.createDataFrame([row], ", ".join(f"{n} double" for n in figures))
+
+
 def exploration_gate(findings: DataFrame, settings: dict | None = None) -> DataFrame:
     limits = gate_settings(settings)["eda"]
     values = findings.agg(F.count("*").alias("findings"))

@@ -57,7 +57,7 @@ def _combined(stat: str, parts: tuple[str, ...]) -> Column:
 
 
 def rolling_summary(
-    df: DataFrame, keys: list[str], time: Column, width: int, value: str | Column, stats: dict[str, str], pieces: int = 8
+    df: DataFrame, keys: list[str], time: Column, width: int, value: str | Column, stats: dict[str, str], pieces: int = 1
 ) -> DataFrame:
     """``df`` with one column per entry of ``stats``, as ``{"mean_7d": "avg"}``, over the trailing ``width`` time units.
 
@@ -66,8 +66,8 @@ def rolling_summary(
     one value; without values ``sum``, ``avg``, ``min`` and ``max`` are NULL. NULL keys are one key. A row without a
     time is in no window and has NULL for each statistic.
 
-    Every row is sent twice whatever the width. A task sorts the rows of a key in two spans, so a hot key is cut into
-    spans; only one summary row per span meets for a whole key.
+    Every row is sent twice whatever the width. A task sorts the rows of a key in two spans, each ``width / pieces``
+    long, so a hot key is cut by time; more pieces cut it finer, for one more join with a row per span.
     """
     if wrong := set(stats.values()) - set(STATS):
         raise ValueError(f"no such statistics: {sorted(wrong)}")

@@ -19,6 +19,7 @@ from sondeo.plans.inputs import (
     weather,
 )
 from sondeo.sources import landed, regions
+from sondeo.workspace import cut_lineage
 
 _REGIONS_SQL = (
     "regions(region_key, region, west, south, east, north) AS (VALUES "
@@ -399,16 +400,17 @@ def training_table_build(spark, folder):
     return built.withColumns({c: F.round(c, 4) for c in ("latitude", "temperature")})
 
 
-@query(
-    f"""WITH {DIRTY_ORDERS_SQL}, d AS (SELECT DISTINCT * FROM dirty)
-    SELECT 'data_collection' AS stage, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value, 10.0::DOUBLE AS threshold,
-      CASE WHEN count(*) >= 10 THEN 1 ELSE 0 END AS passed FROM dirty
-    UNION ALL SELECT 'data_collection', 'columns', 5, 2, 1
-    UNION ALL SELECT 'data_cleaning', 'max_missing_pct', v, 0.05, CASE WHEN v <= 0.05 THEN 1 ELSE 0 END FROM
-      (SELECT greatest(round(1 - CAST(count(o_totalprice) AS DOUBLE) / count(*), 4), round(1 - CAST(count(o_orderpriority) AS DOUBLE) / count(*), 4)) AS v FROM d)
-    UNION ALL SELECT 'data_cleaning', 'rows_retained_pct', v, 0.8, CASE WHEN v >= 0.8 THEN 1 ELSE 0 END FROM
-      (SELECT round(CAST((SELECT count(*) FROM d) AS DOUBLE) / count(*), 4) AS v FROM dirty)"""
-)
+_GATES_SQL = f"""WITH {DIRTY_ORDERS_SQL}, d AS (SELECT DISTINCT * FROM dirty)
+SELECT 'data_collection' AS stage, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value, 10.0::DOUBLE AS threshold,
+  CASE WHEN count(*) >= 10 THEN 1 ELSE 0 END AS passed FROM dirty
+UNION ALL SELECT 'data_collection', 'columns', 5, 2, 1
+UNION ALL SELECT 'data_cleaning', 'max_missing_pct', v, 0.05, CASE WHEN v <= 0.05 THEN 1 ELSE 0 END FROM
+  (SELECT greatest(round(1 - CAST(count(o_totalprice) AS DOUBLE) / count(*), 4), round(1 - CAST(count(o_orderpriority) AS DOUBLE) / count(*), 4)) AS v FROM d)
+UNION ALL SELECT 'data_cleaning', 'rows_retained_pct', v, 0.8, CASE WHEN v >= 0.8 THEN 1 ELSE 0 END FROM
+  (SELECT round(CAST((SELECT count(*) FROM d) AS DOUBLE) / count(*), 4) AS v FROM dirty)"""
+
+
+@query(_GATES_SQL)
 def quality_gates(spark, folder):
     raw = dirty_orders(spark, folder)
     deduplicated = cleaning.drop_duplicates(raw)
@@ -425,3 +427,12 @@ def wall_clock(spark, folder):
         F.datediff(timestamps.day("ts"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("day_number"),
         timestamps.wall_micros("ts").alias("micros"),
     )
+
+
+# The same figures, gathered by the job that writes the table without repeated rows.
+@query(_GATES_SQL)
+def observed_gates(spark, folder):
+    raw = gates.ObservedGates(dirty_orders(spark, folder))
+    unique = gates.ObservedGates(cleaning.drop_duplicates(raw.rows))
+    cut_lineage(unique.rows)
+    return raw.collection_gate().unionByName(unique.cleaning_gate(raw))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.operators import ordering, profile
+from sondeo.operators import increments, ordering, profile
 from sondeo.plans.catalog import query, table, union_sql
 from sondeo.plans.inputs import DIRTY_ORDERS_SQL, LINEITEM_NUMBERS, dirty_orders
 
@@ -262,3 +265,21 @@ def first_per_rounded_key(spark, folder):
         "c_custkey", F.bround(F.col("c_acctbal") / 1000, 0).alias("bal_key"), "c_name"
     )
     return ordering.first_per_key(df, ["bal_key"], "c_custkey", 5)
+
+
+_INCREMENTS = """
+SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS missing,
+  round(CAST(count(*) - count({c}) AS DOUBLE) / count(*), 4) AS missing_pct,
+  CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
+  round(coalesce(skewness({c}), 0), 4) AS skewness, round(coalesce(kurtosis({c}), 0), 4) AS kurtosis
+FROM lineitem
+"""
+
+
+# The states of the items of each ship year, merged, are the profile of all items.
+@query(union_sql(_INCREMENTS, LINEITEM_NUMBERS))
+def merged_profile(spark, folder):
+    items = table(spark, folder, "lineitem").select(F.year("l_shipdate").alias("_year"), *LINEITEM_NUMBERS)
+    years = [r[0] for r in items.select("_year").distinct().collect()]
+    parts = [increments.profile_state(items.where(F.col("_year").eqNullSafe(y)).drop("_year")) for y in years]
+    return increments.state_profile(increments.merge_states(reduce(DataFrame.unionAll, parts))).drop("distinct_estimate")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from sondeo.operators.increments import merge_states, profile_state, state_profile
 from sondeo.operators.ordering import top_k_per_key
 from sondeo.workspace import broadcast_if_small, delete_path, is_directory, path_exists
 
@@ -46,17 +47,22 @@ def start_refresh(
     interval: str = INTERVAL,
     keep: int | None = KEEP,
     after: Callable[[DataFrame], None] | None = None,
+    profiles: str | None = None,
 ) -> StreamingQuery:
     """Write each micro-batch as a snapshot, drop expired ones, then run ``after``.
 
     One query per source: a failing source does not stop the others. ``once`` takes all
     files landed so far and ends; otherwise the query polls every ``interval``. An error in
-    ``after`` is logged and the stream goes on.
+    ``after`` is logged and the stream goes on. With ``profiles``, the profile state of each snapshot is kept in that
+    folder, also after the snapshot expired: see :func:`running_profile`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamped = batch.withColumn("snapshot_ts", F.current_timestamp())
         stamped.write.mode("overwrite").parquet(snapshot_folder(table, source, batch_id))
+        if profiles is not None:  # before anything expires; a batch that is retried replaces its state
+            stored = batch.sparkSession.read.parquet(snapshot_folder(table, source, batch_id)).drop("snapshot_ts")
+            profile_state(stored).write.mode("overwrite").parquet(snapshot_folder(profiles, source, batch_id))
         if keep is not None:
             drop_expired(batch.sparkSession, table, keep, source)
         if after is not None:
@@ -70,6 +76,16 @@ def start_refresh(
     return writer.queryName(f"refresh_{source}").trigger(**trigger).start()
 
 
+def running_profile(spark: SparkSession, profiles: str, source: str | None = None) -> DataFrame | None:
+    """The profile, by source, of all rows ever refreshed, from the states alone; None while there are none."""
+    states = snapshots(spark, profiles)
+    if states is None:
+        return None
+    if source is not None:
+        states = states.where(F.col("source") == source)
+    return state_profile(merge_states(states.drop("snapshot"), ["source"]))
+
+
 def snapshots(spark: SparkSession, table: str) -> DataFrame | None:
     """All kept snapshots; None while nothing was stored."""
     return spark.read.parquet(table) if path_exists(spark, table) else None
