@@ -212,10 +212,10 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 _CHAT_SQL = """
 WITH turns AS (
-    SELECT conv_id, coalesce(turn // 1024, 0) AS segment, turn,
-           regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\\r\\n]', ' ', 'g') AS who,
-           replace(coalesce(text, ''), '<|', '< |') AS said
-    FROM conversations
+    SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, said) - 1) // 1024 AS segment FROM (
+        SELECT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\\r\\n]', ' ', 'g') AS who,
+               replace(coalesce(text, ''), '<|', '< |') AS said
+        FROM conversations)
 ),
 people AS (SELECT DISTINCT conv_id, who AS perspective FROM turns WHERE who <> 'system'),
 seen AS (

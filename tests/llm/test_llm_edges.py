@@ -198,7 +198,7 @@ def test_chat_views(spark):
     ]
     table = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, rendered string")
     found = {(r.conv_id, r.segment, r.perspective): r for r in chat_views.rotate(table).collect()}
-    assert set(found) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (None, 4, "eve"), *((3, s, w) for s in (0, 4) for w in ("ann", "bob"))}
+    assert set(found) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (None, 0, "eve"), (3, 0, "ann"), (3, 0, "bob")}  # by position, not by number
     ann = found[1, 0, "ann"]
     assert ann.n_turns == 6 and ann.n_trained == 3
     assert ann.rendered.startswith("<|im_start|>user name=unknown\n< |im_end|><|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhello")
@@ -213,3 +213,15 @@ def test_chat_views(spark):
             at += n
         assert len(trained) == r.n_trained and all(t.endswith("<|im_end|>\n") for t in trained)
     assert chat_views.rotate(table.limit(0)).count() == 0
+
+
+def test_chat_segments_are_bounded_whatever_the_keys(spark):
+    rows = [(None, i % 8, "user" if i % 2 else "helper", "same" if i % 3 else f"text {i}") for i in range(20_000)]
+    rows += [(7, None, "a", "x")] * 1500 + [(8, i, "a", "y") for i in range(5)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    found = chat_views.rotate(table).collect()
+    pieces = defaultdict(dict)
+    for r in found:
+        pieces[r.conv_id, r.perspective][r.segment] = r.n_turns
+    assert pieces[None, "user"] == pieces[None, "helper"] == {s: min(1024, 20_000 - s * 1024) for s in range(20)}
+    assert pieces[7, "a"] == {0: 1024, 1: 476} and pieces[8, "a"] == {0: 5}
