@@ -19,11 +19,7 @@ from sondeo.workspace import aggregate_wide
 # The sketch has 2^SKETCH registers: a standard error of 1.04 / 2^(SKETCH / 2), that is 1.6 per cent.
 SKETCH = 12
 COLUMNS_PER_SCAN = 20
-STATE = (
-    "column string, rows bigint, count bigint, min double, max double, mean double, "
-    "m2 double, m3 double, m4 double, distinct_sketch binary"
-)
-_NUMBERS = ("min", "max", "mean", "m2", "m3", "m4")
+_NUMBERS = ("min", "max", "sum", "mean", "m2", "m3", "m4")
 
 
 def _cells(df: DataFrame, columns: list[str], means: dict[str, float | None]) -> DataFrame:
@@ -36,7 +32,7 @@ def _cells(df: DataFrame, columns: list[str], means: dict[str, float | None]) ->
         cells.append(
             F.struct(
                 F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("count"),
-                F.min(value).alias("min"), F.max(value).alias("max"), F.lit(means.get(c)).cast("double").alias("mean"),
+                F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"),
                 *[p.alias(n) for n, p in powers.items()],
                 F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH)).alias("distinct_sketch"),
             )
@@ -58,7 +54,7 @@ def profile_state(df: DataFrame) -> DataFrame:
     # The mean is off by rounding; central sums follow from those around it.
     shift = F.try_divide(F.col("s1"), n)
     central = {
-        "mean": F.col("mean") + shift,
+        "mean": F.try_divide(F.col("sum"), n),
         "m2": F.col("s2") - n * shift * shift,
         "m3": F.col("s3") - 3 * shift * F.col("s2") + 2 * n * F.pow(shift, F.lit(3)),
         "m4": F.col("s4") - 4 * shift * F.col("s3") + 6 * shift * shift * F.col("s2") - 3 * n * F.pow(shift, F.lit(4)),
@@ -74,7 +70,8 @@ def merge_states(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = [*(keys or []), "column"]
     n = F.col("count").cast("double")
-    means = states.groupBy(*keys).agg(F.try_divide(F.sum(n * F.col("mean")), F.sum(F.when(F.col("mean").isNotNull(), n))).alias("_mean"))
+    values = F.sum(F.when(F.col("sum").isNotNull(), n))
+    means = states.groupBy(*keys).agg(F.try_divide(F.sum("sum"), values).alias("_mean"))
     apart = states.join(means, keys).withColumn("_d", F.col("mean") - F.col("_mean"))
     d, m2, m3 = F.col("_d"), F.col("m2"), F.col("m3")
     sums = {
@@ -87,6 +84,7 @@ def merge_states(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.sum("count").alias("count"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
+        F.sum("sum").alias("sum"),
         F.first("_mean").alias("mean"),
         *[F.sum(c).alias(name) for name, c in sums.items()],
         F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
@@ -111,7 +109,7 @@ def state_profile(state: DataFrame) -> DataFrame:
         "skewness": F.when(n > 2, F.when(flat, 0.0).otherwise(skew)),
         "kurtosis": F.when(n > 3, F.when(flat, 0.0).otherwise(kurt)),
     }
-    others = [c for c in state.columns if c not in ("rows", "m2", "m3", "m4", "distinct_sketch", "count", *_NUMBERS)]
+    others = [c for c in state.columns if c not in ("rows", "count", "distinct_sketch", *_NUMBERS)]
     return state.select(
         *others,
         "count",

@@ -185,15 +185,18 @@ reached AS (SELECT a.feature, a.label, a.v, a.d FROM beside a JOIN beside b ON a
   GROUP BY a.feature, a.label, a.v, a.d, a.n, a.need HAVING sum(b.more) + a.n - 1 >= a.need),
 nearest AS (SELECT w.*, CASE WHEN n - 1 >= need THEN 0 ELSE (SELECT min(d) FROM reached r WHERE r.feature = w.feature AND r.label = w.label AND r.v = w.v) END AS r FROM w),
 upto AS (SELECT feature, v, sum(n) AS here, sum(sum(n)) OVER (PARTITION BY feature ORDER BY v) AS upto FROM w GROUP BY feature, v),
-within AS (SELECT q.*, CASE WHEN r = 0 THEN e.here ELSE h.upto - coalesce(l.upto, 0) END AS m
+within AS (SELECT q.feature, q.n, CAST(CASE WHEN r = 0 THEN n ELSE need END AS BIGINT) AS same,
+    CAST(CASE WHEN r = 0 THEN e.here ELSE h.upto - coalesce(l.upto, 0) END AS BIGINT) AS m
   FROM nearest q JOIN upto e ON q.feature = e.feature AND q.v = e.v
   ASOF LEFT JOIN upto h ON q.feature = h.feature AND q.v + q.r > h.v
   ASOF LEFT JOIN upto l ON q.feature = l.feature AND q.v - q.r >= l.v),
 psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - {neighbours.EULER} AS p
   FROM range(1, (SELECT CAST(sum(size) AS BIGINT) + 1 FROM sizes)) t(i)),
 of_labels AS (SELECT sum(size) AS total, sum(size * p) AS labels FROM sizes JOIN psi ON i = size),
-nm AS (SELECT feature, greatest(any_value(t.p) + (sum(n * (a.p - b.p)) - any_value(labels)) / any_value(total), 0) AS mi
-  FROM within JOIN psi a ON a.i = CASE WHEN r = 0 THEN n ELSE need END JOIN psi b ON b.i = m, of_labels JOIN psi t ON t.i = total GROUP BY feature)"""
+near AS (SELECT feature, sum(n * a.p) AS near FROM within JOIN psi a ON a.i = same GROUP BY feature),
+around AS (SELECT feature, sum(n * b.p) AS around FROM within JOIN psi b ON b.i = m GROUP BY feature),
+nm AS (SELECT feature, greatest((SELECT p FROM psi WHERE i = (SELECT total FROM of_labels))
+    + (near - around - (SELECT labels FROM of_labels)) / (SELECT total FROM of_labels), 0) AS mi FROM near JOIN around USING (feature))"""
 
 
 _PRICED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
