@@ -299,17 +299,23 @@ def tune(data: TrainingData, name: str, trials: int = 30, seed: int = SEED, para
 
 
 def compete(
-    data: TrainingData, names: list[str] | None = None, trials: int = 0, params: dict | None = None
+    data: TrainingData,
+    names: list[str] | None = None,
+    trials: int = 0,
+    params: dict | None = None,
+    params_of: dict[str, dict] | None = None,
 ) -> tuple[TrainedModel, DataFrame]:
     """Train the candidates, rank them by fold mean, tune the best if ``trials`` are given.
 
+    ``params`` hold for all candidates, ``params_of`` for those it names.
+
     The tuned model is adopted only if it is better. A candidate that fails stays in the
     ranking, after the others, without scores and with the reason in ``error``.
     """
     trained, failed = [], []
     for name in names or candidates(data.task):
         try:
-            trained.append(train(data, name, params))
+            trained.append(train(data, name, {**(params or {}), **(params_of or {}).get(name, {})}))
         except Exception as reason:  # noqa: BLE001 - one failing candidate must not end the contest
             failed.append((name, None, None, f"{type(reason).__name__}: {reason}"[:300]))
     if not trained:
@@ -326,7 +332,7 @@ def compete(
 
 
 def permutation_importance(trained: TrainedModel, k: int = 20, seed: int = SEED) -> DataFrame:
-    """Loss of score when one feature takes the values of other rows, top ``k``."""
+    """Loss of score when one feature takes the values of other rows, top ``k``; NULL where there is no score."""
     data = trained.data
     base = score(trained.model, data.rows, data)
     shuffled = cut_lineage(permuted(data.rows.drop("features"), data.features, data.key, "_p_", seed))
@@ -334,6 +340,7 @@ def permutation_importance(trained: TrainedModel, k: int = 20, seed: int = SEED)
     for feature in data.features:
         inputs = [f"_p_{f}" if f == feature else f for f in data.features]
         changed = VectorAssembler(inputCols=inputs, outputCol="features").transform(shuffled)
-        rows.append((feature, float((base or 0.0) - (score(trained.model, changed, data) or 0.0))))
+        lost = score(trained.model, changed, data)
+        rows.append((feature, None if base is None or lost is None else float(base - lost)))
     frame = data.rows.sparkSession.createDataFrame(rows, "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature").limit(k)
