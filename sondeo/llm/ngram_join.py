@@ -4,7 +4,8 @@ Shingles are hashed into groups; a document is the point of its group counts, an
 two points bounds the overlap of the documents. Points meet in cells, one for each shingle among the quarter of a
 document's shingles that are rarest in the corpus: sets similar enough share one of those. Links are verified on
 the whole sets. A first round verifies neighbours of each cell; a second searches the cells that still hold several
-components with the R-tree, whose bound drops whole subtrees, and verifies what survives.
+components with the R-tree, whose bound drops whole subtrees, and verifies what survives. A large cell is searched in
+tiles of two blocks of its members, a task each.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.common import scratch, stored
@@ -30,6 +32,8 @@ LEAST_GROUPS, MOST_GROUPS, TREE_GROUPS = 32, 1 << 16, 1 << 12
 #: Counters of the corpus' shingles; they order shingles by frequency and affect speed, not results.
 COUNTERS = 1 << 18
 LEAF = 16
+#: Members of a cell in one block; a task holds the vectors of two blocks.
+BLOCK = 1024
 #: Rounds in which every point of a cell tries only its nearest neighbours in other components, and how many of them.
 NEAREST_ROUNDS, NEAREST = 1, 4
 _D1, _D2 = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -160,11 +164,15 @@ _FOUND = "kind int, doc_id long, size long, node long, counts binary, a long, b
 
 
 def _dealt(docs: DataFrame, parts: int, n: int, percent: int) -> DataFrame:
-    """A row for each document (size and node, the digest of its set) and, by part, the rarest shingles of the sets."""
+    """A row for each document (size and node, the digest of its set) and, by part, the rarest shingles of the sets.
+
+    The rows of documents are dealt in turn, so that a group of copies spreads over all parts.
+    """
     order = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, n))  # COUNTERS longs
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, known = order.value, set()
+        turn = TaskContext.get().partitionId()
         for batch in batches:
             sizes, nodes, counts, tokens, owners, own_sizes = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -184,11 +192,12 @@ def _dealt(docs: DataFrame, parts: int, n: int, percent: int) -> DataFrame:
             none = pa.nulls(rows, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((np.array(nodes, dtype=np.int64) % parts).astype(np.int32)), batch.column(0), pa.array(sizes, pa.int64()),
+                    pa.array((np.arange(turn, turn + rows) % parts).astype(np.int32)), batch.column(0), pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), none, none, none, none,
                 ],
                 names=[c.split()[0] for c in _DEALT.split(", ")],
             )
+            turn += rows
             if not tokens:
                 continue
             token = np.concatenate(tokens)
@@ -372,17 +381,81 @@ def nearest(pairs: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     return pairs[np.unique(order[rank < k] % len(pairs))]
 
 
-def _searched(cells: DataFrame, points: DataFrame, labels: DataFrame, percent: int, near: int | None = None) -> DataFrame:
-    """Pairs over component borders that the R-tree of a cell leaves, for the cells with several components.
+def _members(cells: DataFrame) -> DataFrame:
+    """(cell_id, node) of the cells of all parts, stored.
 
-    With ``near`` only the pairs with one of the so many nearest neighbours of a point, by the bound.
+    Cells of different parts that begin with the same node are mostly of the same group. Small ones, no more than a
+    document has shingles, are merged again where they meet; those beyond a block are united by their first node,
+    row by row, so that no task holds a large group.
     """
-    members = (
-        cells.select(F.xxhash64("cell").alias("cell_id"), F.explode("members").alias("node"))
-        .join(labels, "node", "left")
-        .select("cell_id", "node", F.coalesce("label", "node").alias("label"))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell_id, cell in zip(batch.column("cell_id").to_pylist(), batch.column("cell")):
+                nodes = np.frombuffer(cell.as_py(), np.int64)
+                for start in range(0, len(nodes), 1 << 16):
+                    part = nodes[start : start + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), cell_id)), pa.array(part)], names=["cell_id", "node"])
+
+    met = cells.select("cell", F.substring("cell", 1, 8).alias("first"))
+    large = F.length("cell") > 8 * BLOCK
+    merged = met.where(~large).distinct().groupBy("first").applyInArrow(_merged_again, "cell binary").select(F.xxhash64("cell").alias("cell_id"), "cell")
+    united = met.where(large).select(F.xxhash64("first").alias("cell_id"), "cell")
+    rows = merged.mapInArrow(opened, "cell_id long, node long").unionByName(united.mapInArrow(opened, "cell_id long, node long").distinct())
+    return stored(rows, "members")
+
+
+def _tiles(members: DataFrame, labels: DataFrame, near: int | None) -> DataFrame:
+    """(cell_id, i, j, node, label) for the cells with several components: the members of each tile.
+
+    Up to ``BLOCK`` members are one tile. Of a larger cell, nodes are dealt into blocks by hash. With ``near`` a
+    tile is two neighbouring blocks. Else it is a block of the nodes outside the cell's largest component with one
+    of those inside, or with another one outside: every pair across components meets, and a member of the
+    largest component is repeated only as often as there are blocks outside it.
+    """
+    labelled = members.join(labels, "node", "left").select("cell_id", "node", F.coalesce("label", "node").alias("label"))
+    counts = labelled.groupBy("cell_id", "label").agg(F.count("*").alias("n"))
+    several = counts.groupBy("cell_id").agg(
+        F.sum("n").alias("all"), F.max("n").alias("inside"), F.max_by("label", F.struct("n", "label")).alias("largest")
     )
-    several = members.groupBy("cell_id").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell_id")
+    several = several.where(F.col("all") > F.col("inside"))
+    mark = F.xxhash64("node")
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / F.lit(BLOCK)).cast("long")
+
+    def tile(i: Column, j: Column) -> Column:
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+
+    def up_to(n: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), n - 1)
+
+    zero = F.lit(0)
+    if near:
+        n = blocks(F.col("all"))
+        larger = F.array(tile(F.pmod(mark, n), zero), tile(F.pmod(F.pmod(mark, n) - 1, n), zero))
+    else:
+        inside, outside = blocks(F.col("inside")), blocks(F.col("all") - F.col("inside"))
+        own = F.pmod(mark, outside)
+        larger = F.when(
+            F.col("label") == F.col("largest"), F.transform(up_to(outside), lambda i: tile(i, F.pmod(mark, inside)))
+        ).otherwise(
+            F.concat(
+                F.transform(up_to(inside), lambda j: tile(own, j)),
+                F.transform(up_to(outside), lambda k: tile(F.least(own, k), -1 - F.greatest(own, k))),
+            )
+        )
+    tiles = F.when(F.col("all") <= BLOCK, F.array(tile(zero, zero))).otherwise(larger)
+    return labelled.join(several, "cell_id").select("cell_id", "node", "label", F.explode(tiles).alias("t")).select(
+        "cell_id", "t.i", "t.j", "node", "label"
+    )
+
+
+def _searched(members: DataFrame, points: DataFrame, labels: DataFrame, percent: int, near: int | None = None) -> DataFrame:
+    """Pairs over component borders that the R-tree of a tile leaves.
+
+    With ``near`` only the pairs with one of the so many nearest neighbours of a point, by the bound.
+    """
 
     def searched(table: pa.Table) -> pa.Table:
         node, label = (table.column(c).to_numpy() for c in ("node", "label"))
@@ -403,8 +476,8 @@ def _searched(cells: DataFrame, points: DataFrame, labels: DataFrame, percent: i
         a, b = node[found[:, 0]], node[found[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    open_cells = members.join(several, "cell_id").join(points, "node")
-    return open_cells.groupBy("cell_id").applyInArrow(searched, "a long, b long").distinct()
+    held = _tiles(members, labels, near).join(points, "node")
+    return held.groupBy("cell_id", "i", "j").applyInArrow(searched, "a long, b long").distinct()
 
 
 def _nearest_of(pairs: np.ndarray, counts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -435,14 +508,12 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     vectors = found.where("kind = 0 AND counts IS NOT NULL AND size > 0").select("node", "counts")
     points = _in_place(vectors.join(met, "node").dropDuplicates(["node"]), "node", parts)
     links = _verified(docs, _bounded(near, points, percent), rows, n, percent)
-    # Cells of different parts that begin with the same node are mostly of the same group: they are merged again.
-    cells = found.where("kind = 2").select("cell", F.substring("cell", 1, 8).alias("first")).distinct()
-    cells = stored(cells.groupBy("first").applyInArrow(_merged_again, "cell binary, members array<long>"), "cells")
+    members = _members(found.where("kind = 2"))
     # Nearest neighbours first join what belongs together, so that few pairs cross components at the end.
     tried = near
     for limit in [NEAREST] * NEAREST_ROUNDS + [None]:
         labels = stored(components(links), "labels")
-        rest = stored(_searched(cells, points, labels, percent, limit).join(tried, ["a", "b"], "left_anti"), "pairs")
+        rest = stored(_searched(members, points, labels, percent, limit).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             tried = tried.unionByName(rest)
             rest = _bounded(rest, points, percent)
@@ -466,7 +537,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
 def _merged_again(table: pa.Table) -> pa.Table:
     members = merged_cells([np.frombuffer(c.as_py(), np.int64) for c in table.column("cell")])
-    return pa.table({"cell": pa.array([m.tobytes() for m in members], pa.binary()), "members": pa.array(members, pa.list_(pa.int64()))})
+    return pa.table({"cell": pa.array([m.tobytes() for m in members], pa.binary())})
 
 
 def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:

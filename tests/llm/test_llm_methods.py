@@ -158,6 +158,43 @@ def test_ngram_join_by_brute_force(spark, seed):
     assert {r.doc_id: r.component_id for r in found} == cases.components(rows)
 
 
+def test_ngram_join_in_tiles_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rows = _copies(2)
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in found} == cases.components(rows)
+
+
+def test_tiles_hold_every_pair_across_components(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    label = {i: 1 if i <= 3000 else i // 10 for i in range(1, 3201)}
+    members = [(7, i) for i in label] + [(8, i) for i in (1, 2, 3)] + [(9, i) for i in (1, 3001, 3002)]
+    members = spark.createDataFrame(members, "cell_id long, node long")
+    labels = spark.createDataFrame([(i, x) for i, x in label.items() if x != i], "node long, label long")
+    for near in (None, 4):
+        tiles = {}
+        for r in ngram_join._tiles(members, labels, near).collect():
+            assert r.label == label[r.node]
+            tiles.setdefault((r.cell_id, r.i, r.j), set()).add(r.node)
+        assert {c for c, _, _ in tiles} == {7, 9} and tiles[9, 0, 0] == {1, 3001, 3002}
+        assert max(map(len, tiles.values())) < 4 * 50 and len(tiles) > 50
+        homes = {i: set() for i in label}
+        for t, nodes in tiles.items():
+            for i in nodes:
+                homes[i].add(t)
+        if near is None:
+            assert all(homes[i] & homes[k] for i in range(3001, 3201) for k in label if label[i] != label[k])
+            assert max(len(homes[i] - {(9, 0, 0)}) for i in range(1, 3001)) == 4  # blocks of the 200 outside
+        else:
+            assert max(map(len, homes.values())) <= 3
+
+
+def test_copies_spread_over_parts(spark):
+    docs = spark.createDataFrame([(i, "the same text of a few words") for i in range(800)], "doc_id long, text string").coalesce(1)
+    dealt = ngram_join._dealt(docs, 8, 5, 75).where("tokens IS NULL").groupBy("part").count().collect()
+    assert {r["count"] for r in dealt} == {100}
+
+
 @pytest.mark.parametrize("in_a_task", [20, 10_000])
 def test_components(spark, monkeypatch, in_a_task):
     monkeypatch.setattr(llm_components, "LINKS_PER_TASK", in_a_task)
