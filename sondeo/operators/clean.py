@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.functions.moments import clip
@@ -194,6 +194,56 @@ def canonical_categories(df: DataFrame, column: str, canon: list[str], threshold
     return df.withColumn(f"{column}_canonical", mapped)
 
 
+def _keyed(text: str) -> Column:
+    return F.lower(F.trim(F.col(text)))
+
+
+def _segments(df: DataFrame, allowed: float) -> DataFrame:
+    """Adds, for texts of ``_length``, the ``_errors`` they bear and a row for each of their ``_errors`` + 1 segments."""
+    parts, i = F.col("_errors") + 1, F.col("_i")
+    return (
+        df.withColumn("_errors", F.floor(F.col("_length") * F.lit(allowed) + F.lit(1e-9)).cast("int"))
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_errors"))))
+        .withColumn("_start", F.floor(i * F.col("_length") / parts).cast("int"))
+        .withColumn("_size", F.floor((i + 1) * F.col("_length") / parts).cast("int") - F.col("_start"))
+    )
+
+
+def canonical_from_table(df: DataFrame, column: str, names: DataFrame, name: str, threshold: float = 0.85) -> DataFrame:
+    """Adds ``<column>_canonical``: the closest name of a table, if close enough, else the value itself.
+
+    Similarity is ``1 - edit distance / longer length`` of the trimmed lower-case texts, ties to the smallest name.
+    ``threshold`` is over 0.5. NULL stays NULL; NULL and blank names match nothing.
+
+    A name that bears k errors is cut into k + 1 segments, of which a value within k errors has one unchanged and
+    little moved. Names and distinct values meet by such segments, so only values that share one are compared. The
+    segments of a value grow with the cube of its length: this is for names, not for texts.
+    """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("threshold must be over 0.5 and at most 1")
+    allowed = (1 - threshold) / threshold
+    known = names.select(F.col(name).alias("_name"), _keyed(name).alias("_text")).where(F.length("_text") > 0).distinct()
+    known = _segments(known.withColumn("_length", F.length("_text")), allowed)
+    known = known.select("_name", F.col("_text").alias("_key"), "_length", "_i", F.expr("substring(_text, _start + 1, _size)").alias("_segment"))
+    values = df.select(_keyed(column).alias("_value")).where(F.length("_value") > 0).distinct()
+    size = F.length("_value")
+    shortest, longest = F.ceil(size * F.lit(threshold) - F.lit(1e-9)), F.floor(size / F.lit(threshold) + F.lit(1e-9))
+    lengths = F.sequence(F.greatest(shortest.cast("int"), F.lit(1)), longest.cast("int"))
+    tried = _segments(values.withColumn("_length", F.explode(lengths)), allowed)
+    # Before segment i there are at most i errors, after it at most the others: both ends bound how far it has moved.
+    left, right, more = F.col("_i"), F.col("_errors") - F.col("_i"), size - F.col("_length")
+    first = F.greatest(F.lit(0), F.col("_start") - left, F.col("_start") + more - right)
+    last = F.least(size - F.col("_size"), F.col("_start") + left, F.col("_start") + more + right)
+    tried = tried.withColumn("_at", F.explode(F.when(first <= last, F.sequence(first, last))))
+    tried = tried.select("_value", "_length", "_i", F.expr("substring(_value, _at + 1, _size)").alias("_segment"))
+    ratio = F.lit(1.0) - F.levenshtein("_value", "_key") / F.greatest(F.length("_value"), F.length("_key"))
+    near = tried.join(known, ["_length", "_i", "_segment"]).select("_value", "_name", ratio.alias("_ratio"))
+    best = near.where(F.col("_ratio") >= threshold).groupBy("_value").agg(F.min(F.struct(-F.col("_ratio"), "_name")).alias("_best"))
+    found = broadcast_if_small(best.select("_value", F.col("_best._name").alias("_found")))
+    joined = df.withColumn("_asked", _keyed(column)).join(found, F.col("_asked") == F.col("_value"), "left")
+    return joined.withColumn(f"{column}_canonical", F.coalesce("_found", column)).drop("_asked", "_value", "_found")
+
+
 def mask_columns(df: DataFrame, columns: list[str], keep: int = 4) -> DataFrame:
     """All but the last ``keep`` characters as ``*``; shorter values are masked whole."""
     masked = {}

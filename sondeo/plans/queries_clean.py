@@ -215,6 +215,30 @@ def canonical_categories(spark, folder):
     return clean.canonical_categories(df, "variant", canon)
 
 
+@query(
+    """WITH named AS (SELECT p_partkey, p_name || ' ' || p_type AS name FROM part),
+    worn AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN substr(name, 1, 1) || substr(name, 3) WHEN 1 THEN upper(name) || 'x '
+      WHEN 2 THEN substr(name, 3) || 'q' WHEN 3 THEN substr(name, 1, 4) || '-' || substr(name, 5) ELSE substr(name, 1, 6) END AS worn
+      FROM named),
+    near AS (SELECT v.worn, n.name, 1 - CAST(levenshtein(lower(trim(v.worn)), lower(trim(n.name))) AS DOUBLE)
+        / greatest(length(trim(v.worn)), length(trim(n.name))) AS ratio
+      FROM (SELECT DISTINCT worn FROM worn) v, (SELECT DISTINCT name FROM named) n),
+    best AS (SELECT worn, name FROM near WHERE ratio >= 0.85 QUALIFY row_number() OVER (PARTITION BY worn ORDER BY ratio DESC, name) = 1)
+    SELECT p_partkey, worn, coalesce(best.name, worn) AS worn_canonical FROM worn LEFT JOIN best USING (worn)"""
+)
+def canonical_names(spark, folder):
+    named = table(spark, folder, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("name"))
+    name, key = F.col("name"), F.col("p_partkey") % 5
+    worn = (
+        F.when(key == 0, F.expr("substring(name, 1, 1) || substring(name, 3)"))
+        .when(key == 1, F.concat(F.upper(name), F.lit("x ")))
+        .when(key == 2, F.expr("substring(name, 3) || 'q'"))
+        .when(key == 3, F.expr("substring(name, 1, 4) || '-' || substring(name, 5)"))
+        .otherwise(F.expr("substring(name, 1, 6)"))
+    )
+    return clean.canonical_from_table(named.select("p_partkey", worn.alias("worn")), "worn", named, "name")
+
+
 @query(
     """SELECT c_custkey, sha256('pepper' || c_name) AS c_name,
       CASE WHEN length(c_mktsegment) > 4 THEN repeat('*', length(c_mktsegment) - 4) || right(c_mktsegment, 4)
