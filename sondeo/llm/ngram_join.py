@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.common import scratch, stored
+from sondeo.llm.common import forget, scratch, stored
 from sondeo.llm.components import components
 from sondeo.llm.hashing import grams, mixed, words
 from sondeo.workspace import broadcast_if_small
@@ -322,14 +322,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFra
                 names=["node", "found"],
             )
 
-    return stored(texts.select("text").mapInArrow(made, "node long, found binary"), "sets")
+    return texts.select("text").mapInArrow(made, "node long, found binary")
 
 
 def _in_place(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` written in buckets of a key: what joins it by the key moves, and it stays where it is."""
     name = f"points_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-    writer.option("path", scratch(df.sparkSession, "points")).format("parquet").saveAsTable(name)
+    writer = writer.option("path", scratch(df.sparkSession, "points")).option("compression", "zstd")
+    writer.format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -364,12 +365,16 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that are links by their whole sets, stored."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, nodes, rows, n)
+    sets, path = _sets(docs, nodes, rows, n), scratch(docs.sparkSession, "sets")
+    sets.write.parquet(path)
+    sets = docs.sparkSession.read.schema(sets.schema).parquet(path)
 
     def alike(x: bytes, y: bytes) -> bool:
         return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
-    return stored(_tested(_both(pairs, sets, "found"), alike), "links")
+    links = stored(_tested(_both(pairs, sets, "found"), alike), "links")
+    forget(docs.sparkSession, path)  # the sets are the largest table, and the links are written
+    return links
 
 
 def nearest(pairs: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
@@ -498,9 +503,10 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(
-        _dealt(docs, parts, n, percent).repartitionById(parts, "part").mapInArrow(_cells(percent), _FOUND), "ngram_cells", "kind"
-    )
+    path = scratch(spark, "ngram_cells")  # count vectors are mostly zeros: zstd halves them
+    found = _dealt(docs, parts, n, percent).repartitionById(parts, "part").mapInArrow(_cells(percent), _FOUND)
+    found.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
     rows = found.where("kind = 0").select("doc_id", "size", "node")
     near = stored(found.where("kind = 1").select("a", "b").distinct(), "pairs")
     # Every node of a cell has a neighbour in it. Equal sets of different tasks bring equal vectors; one is taken.
