@@ -2,7 +2,8 @@
 
 Time is counted in slots of one block. A source of weight w releases its i-th block (from 0) at floor(i / w) and wants
 it by ceil((i + 1) / w); among the released blocks the earliest deadline goes first. Weights are exact fractions and the
-schedule is laid out as far as the sources' blocks go, so no rounding of a weight adds up over the slots.
+schedule is laid out as far as the sources' blocks go, so no rounding of a weight adds up over the slots. Where no block
+is released the slots stay empty, and the schedule goes on at the next release: its steps are the blocks.
 """
 
 from __future__ import annotations
@@ -19,29 +20,15 @@ from pyspark.sql import functions as F
 
 from sondeo.llm.common import numbered, quoted, stored, without
 
+#: Documents of a block. The one task that lays out the schedule has a step for each block and keeps a block per source.
 BLOCK_ROWS = 16
-PERIOD = 1000
 CELLS = 256
-MAX_SOURCES = 100_000
 #: Rows of the schedule that are handed on at a time.
 LAID_ROWS = 50_000
+LAST_SLOT = 2**48
 _NULL = "\0null"
 
 
-def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period by source, in proportion to the weights; largest remainders first.
-
-    The period grows where there are too many sources; sources too small for a slot of it are left out. This rounds:
-    :func:`mix` does not use it.
-    """
-    exact = _whole(weights)
-    period, total = max(period, 10 * len(exact)), sum(exact.values())
-    slots = {s: w * period // total for s, w in exact.items()}
-    for s in sorted(exact, key=lambda s: (-(exact[s] * period % total), s))[: period - sum(slots.values())]:
-        slots[s] += 1
-    return {s: n for s, n in slots.items() if n}
-
-
 def _whole(weights: Mapping[str, float]) -> dict[str, int]:
     """Positive weights as whole numbers in the same proportions, as written in decimals."""
     exact = {s: Fraction(repr(float(w))) for s, w in sorted(weights.items()) if w > 0}
@@ -49,54 +36,33 @@ def _whole(weights: Mapping[str, float]) -> dict[str, int]:
     return {s: int(w * unit) for s, w in exact.items()}
 
 
-def pfair(weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
-    """For each slot without end (source, number of the source's block), earliest deadline first."""
+def laid_out(weights: Mapping[str, float], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of as many blocks as each source has, by slot.
+
+    Sources without a positive weight follow, one after the other. Slots that do not fit a long, as a weight of 1e-30
+    makes them, are refused.
+    """
     whole = _whole(weights)
     total = sum(whole.values())
-    waiting = [(0, s, 0) for s in whole]  # (release, source, block)
+    waiting = [(0, s, 0) for s in whole if blocks.get(s)]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     now = 0
-    while whole:
+    while waiting or ready:
+        if not ready:
+            now = max(now, waiting[0][0])
         while waiting and waiting[0][0] <= now:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * total // whole[s]), s, i))
         _, s, i = heapq.heappop(ready)
-        yield s, i
-        heapq.heappush(waiting, ((i + 1) * total // whole[s], s, i + 1))
+        if now >= LAST_SLOT:
+            raise ValueError(f"the weight of source {s!r} is too small beside the others'")
+        yield s, i, now
         now += 1
-
-
-def pfair_period(slots: Mapping[str, int]) -> list[tuple[str, int]]:
-    """The first ``sum(slots)`` slots, after which whole-number weights repeat."""
-    return list(islice(pfair(slots), sum(slots.values())))
-
-
-def laid_out(weights: Mapping[str, float], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int]]:
-    """(source, block, slot) of as many blocks as each source has; the slots of sources that have ended stay empty."""
-    left = sum(n for s, n in blocks.items() if weights.get(s, 0) > 0)
-    for slot, (s, i) in enumerate(pfair(weights) if left else ()):
-        if i < blocks.get(s, 0):
-            yield s, i, slot
-            left -= 1
-            if not left:
-                return
-
-
-def source_rows(docs: DataFrame) -> dict[str, int]:
-    """The rows of each source, a null source included.
-
-    One row per source comes to the driver; more than ``MAX_SOURCES`` are refused.
-    """
-    rows = docs.groupBy(F.coalesce(F.col("source"), F.lit(_NULL)).alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: map them to fewer before mixing")
-    return {r["s"]: r["count"] for r in rows}
-
-
-def root_weights(docs: DataFrame) -> dict[str, float]:
-    """Weights in proportion to the square root of each source's rows; rules as for :func:`source_rows`."""
-    return {s: n**0.5 for s, n in source_rows(docs).items()}
+        if i + 1 < blocks[s]:
+            heapq.heappush(waiting, ((i + 1) * total // whole[s], s, i + 1))
+    rest = ((s, i) for s in sorted(blocks.keys() - whole.keys()) for i in range(blocks[s]))
+    yield from ((s, i, now + n) for n, (s, i) in enumerate(rest))
 
 
 def mix(
@@ -109,41 +75,40 @@ def mix(
 
     Blocks are ``block_rows`` documents of a source, in an order by hash of ``doc_id``. While every source has
     blocks left, each source's blocks in the first t slots differ from t times its exact weight by less than one,
-    however many slots there are. The schedule is laid out slot by slot in one task and stored. When a source ends, its slots stay empty and the others go on in their proportions, so no document is dropped.
+    however many slots there are; when a source ends, its slots are free to blocks of others that are released, and
+    the others' deviations stay below one. No document is dropped. The schedule is laid out in one task from a table
+    of one row per source, and stored; it has a row for each block, so ``block_rows`` bounds it.
 
     ``weights`` are by source (None for a null source), by default the square roots of the sources' rows; sources
-    without a positive weight come after the rest of the mixture, in slots of their own. Repeated rows and equal
+    without a positive weight come after the rest of the mixture, one source after the other. Repeated rows and equal
     ids each take a place; ties of ``doc_id`` are ordered by a hash of the text. Null ids come first within their
     piece. Input columns called block, slot or mix_order are replaced. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     docs = without(docs, "block", "slot", "mix_order")
     names = [quoted(c) for c in docs.columns]
-    rows = source_rows(docs)
-    if weights is None:
-        weights = {s: n**0.5 for s, n in rows.items()}
-    weights = {_NULL if s is None else s: w for s, w in weights.items()}
-    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
-
-    def lay(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        laid = laid_out(weights, blocks)
+    source = F.coalesce(F.col("source"), F.lit(_NULL)).alias("_source")
+    given = weights and {_NULL if s is None else s: w for s, w in weights.items()}
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = {s: n for batch in batches for s, n in zip(batch["_source"], batch["count"].tolist())}
+        targets = {s: n**0.5 for s, n in rows.items()} if given is None else given
+        laid = laid_out(targets, {s: -(-n // block_rows) for s, n in rows.items()})
         while some := list(islice(laid, LAID_ROWS)):
-            yield pd.DataFrame(some, columns=["_source", "block", "_slot"])
+            yield pd.DataFrame(some, columns=["_source", "block", "slot"])
 
-    plan = spark.range(0, 1, 1, 1).mapInPandas(lay, "_source string, block long, _slot long")
+    sources = stored(docs.groupBy(source).count(), "sources")  # one row per source
+    plan = sources.coalesce(1).mapInPandas(lay, "_source string, block long, slot long")
     key = F.xxhash64("doc_id")
     marked = docs.select(
         *names,
-        F.coalesce(F.col("source"), F.lit(_NULL)).alias("_source"),
+        source,
         F.pmod(key, F.lit(cells)).alias("_cell"),
         key.alias("_key"),
     )
     placed = numbered(marked, ["_source"], "_cell", [F.col("_key"), F.col("doc_id"), F.xxhash64("text")], "_n")
     block = F.floor(F.col("_n") / block_rows).cast("long")
-    placed = placed.withColumn("block", block).join(stored(plan, "schedule"), ["_source", "block"], "left")
-    # Sources without weight follow after every slot that the others can take.
-    slot = F.coalesce(F.col("_slot"), F.lit(2**40) + F.col("block"))
-    return placed.withColumn("slot", slot).select(
+    placed = placed.withColumn("block", block).join(stored(plan, "schedule"), ["_source", "block"])
+    return placed.select(
         *names, "block", "slot",
         (F.col("slot") * block_rows + F.pmod("_n", F.lit(block_rows))).cast("long").alias("mix_order"),
     )

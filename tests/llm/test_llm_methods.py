@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import llm_cases as cases
 import numpy as np
@@ -204,16 +206,44 @@ def test_components(spark, monkeypatch, in_a_task):
     assert found == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}, 4000: 4000, 4500: 4000, 5000: 4000}
 
 
+def _slots_by_brute_force(weights, blocks):
+    """Slot by slot: of the blocks that are released and next in their source, the one with the earliest deadline."""
+    exact = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    total, taken, found, t = sum(exact.values()), Counter(), {}, 0
+    while len(found) < sum(blocks.values()):
+        due = [(math.ceil((taken[s] + 1) * total / w), s) for s, w in exact.items() if taken[s] < blocks[s] and math.floor(taken[s] * total / w) <= t]
+        if due:
+            s = min(due)[1]
+            found[s, taken[s]] = t
+            taken[s] += 1
+        t += 1
+    return found
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {str(i): i + 1 for i in range(20)}])
-def test_pfair_deviates_less_than_a_block(weights):
-    slots = mixing.shares(weights)
-    laid = mixing.pfair_period(slots)
-    period, seen = len(laid), Counter()
-    assert period == sum(slots.values()) and Counter(s for s, _ in laid) == slots
-    for t, (s, i) in enumerate(laid, 1):
-        assert i == seen[s]
-        seen[s] += 1
-        assert all(abs(seen[x] - t * slots[x] / period) < 1 for x in slots)
+@pytest.mark.parametrize("shortest", [1, 40])
+def test_blocks_keep_their_windows(weights, shortest):
+    blocks = {s: shortest + 7 * i for i, s in enumerate(weights)}
+    laid = {(s, i): t for s, i, t in mixing.laid_out(weights, blocks)}
+    assert laid == _slots_by_brute_force(weights, blocks)
+    total = sum(Fraction(repr(float(w))) for w in weights.values())
+    for (s, i), t in laid.items():
+        w = Fraction(repr(float(weights[s]))) / total
+        assert i // w <= t < -(-(i + 1) // w)
+
+
+def test_schedule_jumps_over_empty_slots():
+    laid = list(mixing.laid_out({"a": 1.0, "b": 1e-6}, {"a": 10, "b": 20_000, "c": 3, "d": 2}))
+    assert len(laid) == 20_015 and len({t for _, _, t in laid}) == 20_015
+    assert [s for s, _, _ in laid[-5:]] == ["c", "c", "c", "d", "d"]
+    with pytest.raises(ValueError):
+        list(mixing.laid_out({"a": 1.0, "b": 1e-30}, {"a": 1, "b": 5}))
+
+
+def test_sources_without_weight_have_places_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "") for i in range(90)], "doc_id long, source string, text string")
+    found = mixing.mix(docs, {"a": 1.0}, block_rows=4).collect()
+    assert len({r.mix_order for r in found}) == 90
 
 
 @pytest.mark.parametrize(
@@ -236,16 +266,10 @@ def test_mix_keeps_the_given_weights_over_many_periods(spark, weights):
 def test_mix_by_brute_force(spark, data):
     found = llm.QUERIES["op4_source_mix"](spark, data).collect()
     rows = Counter(r.source for r in found)
-    slots = mixing.shares({s: n**0.5 for s, n in rows.items()})
-    laid = mixing.pfair_period(slots)
     blocks = defaultdict(Counter)
     for r in found:
         blocks[r.source][r.block] += 1
-    owner, seen, expected = {}, Counter(), {}
-    for t in range(max(r.slot for r in found) + 1):
-        s = laid[t % len(laid)][0]
-        owner[s, seen[s]] = t
-        seen[s] += 1
+    owner, expected = _slots_by_brute_force({s: n**0.5 for s, n in rows.items()}, {s: len(b) for s, b in blocks.items()}), {}
     for s, own in blocks.items():
         assert sorted(own) == list(range(-(-rows[s] // mixing.BLOCK_ROWS)))
         assert all(own[b] == mixing.BLOCK_ROWS for b in list(own) if b < max(own))
