@@ -114,6 +114,71 @@ def test_leaks_find_edited_copies_beside_exact_ones(spark):
     assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == expected
 
 
+def _changed(rng, item, kind):
+    """Copies of an item near the least score: every third word changed, words added between all, or edits at random."""
+    if kind == 0:
+        return ["new" if j % 3 == 2 else w for j, w in enumerate(item)]
+    if kind == 1:
+        return [x for w in item for x in ((w, "new") if rng.random() < 0.8 else (w,))]
+    if kind == 2:
+        return [w for j, w in enumerate(item) if j % 4 != 3]
+    w, share = list(item), rng.choice([0.15, 0.25, 0.33])
+    for j in rng.sample(range(len(w)), int(share * len(w))):
+        w[j] = rng.choice(["", "new", w[j] + " extra"])
+    return " ".join(w).split()
+
+
+@pytest.mark.parametrize("least", [0.5, 0.65])
+def test_every_copy_that_scores_enough_is_found(least):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(90)]
+    items = [(i, rng.choices(vocabulary, k=rng.choice([4, 5, 9, 24, 41]))) for i in range(30)]
+    exact = rng.choices(vocabulary, k=41)
+    items += [(30, exact), (31, exact)]
+    rows = [(i, " ".join(w)) for i, w in items]
+    ids = {w: n for n, w in enumerate([*vocabulary, "new", "extra"])}
+    seeds, near, beside = decontaminate.Seeds.of(rows, least), 0, 0
+    for i, item in items:
+        for kind in range(8):
+            copy = exact * (kind == 5) + _changed(rng, item, kind)
+            text = [*rng.choices(vocabulary, k=30), *copy, *rng.choices(vocabulary, k=30)]
+            passage = np.array([ids[w] for w in text])
+            expected = {}
+            for k, other in items:
+                score = decontaminate.smith_waterman(np.array([ids[w] for w in other]), passage)[0] / (2 * len(other))
+                if score >= least:
+                    expected[k] = score
+            assert {k: s for k, s, _, _ in decontaminate.search(" ".join(text), seeds)} == expected
+            near += i in expected and 0.5 <= expected[i] <= 0.75
+            beside += i in expected and 30 in expected and i < 30
+    assert near > 20 and beside > 5
+
+
+def test_a_shared_phrase_starts_no_alignment(monkeypatch):
+    phrase = "which of the following is".split()
+    rows = [(i, " ".join([*phrase, *(f"i{i}x{j}" for j in range(35))])) for i in range(3000)]
+    tried = []
+    whole = decontaminate.best_possible
+    monkeypatch.setattr(decontaminate, "best_possible", lambda item, passage: tried.append(1) or whole(item, passage))
+    seeds = decontaminate.Seeds.of(rows)
+    assert decontaminate.search(" ".join(phrase * 240), seeds) == [] and not tried
+    assert [k for k, *_ in decontaminate.search(" ".join(phrase * 20) + " " + rows[7][1], seeds)] == [7]
+
+
+def test_common_pairs_are_spared():
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(500)], k=40))) for i in range(10)]
+    items = decontaminate.Items.of(rows)
+    distinct = np.unique(items.pairs()[0])
+    counts = np.array([rng.choice([0, 1, 1000]) for _ in distinct])
+    by_hash = dict(zip(distinct.tolist(), counts.tolist()))
+    kept = {(i, p) for _, i, p in zip(*(c.tolist() for c in decontaminate.Seeds(items, 0.5, counts).tables[0]))}
+    for i, w in enumerate(items.words):
+        own = [by_hash[h] for h in decontaminate._pairs(w[:-1], w[1:]).tolist()]
+        seeds = [own[p] for p in range(39) if (i, p) in kept]
+        assert len(seeds) == 33 and sorted(seeds) == sorted(own)[:33]
+
+
 def test_rtree_keeps_every_similar_pair():
     rng = np.random.default_rng(11)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(20, 200)).astype(np.uint64)) for _ in range(150)]
