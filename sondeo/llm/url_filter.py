@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.common import ascii_lower, quoted, without
+from sondeo.llm.common import ascii_lower, quoted, stored, without
 
 MIN_GOOD = 0.5
 Z = 1.645
@@ -74,14 +74,15 @@ def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """(host, mean, bound) for a table of (host, n, k): labelled pages of each host and the good among them.
 
     ``bound`` is the posterior mean less ``z`` posterior standard deviations. Hosts without labels take their
-    domain's, suffix's or the overall rate. Hosts must be distinct and not null.
+    domain's, suffix's or the overall rate. Hosts must be distinct and not null. Each level is stored, as two passes of
+    the next one read it.
     """
     domain, suffix = _levels(F.col("host"))
     hosts = hosts.select("host", "n", "k", domain.alias("domain"), suffix.alias("suffix"))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = stored(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffix_level = _level(suffixes, "suffix", None, None)
-    domain_level = _level(domains, "domain", suffix_level, "suffix").drop("suffix")
+    suffix_level = stored(_level(suffixes, "suffix", None, None), "suffix_level")
+    domain_level = stored(_level(domains, "domain", suffix_level, "suffix").drop("suffix"), "domain_level")
     host_level = _level(hosts.drop("suffix"), "host", domain_level, "domain")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
     return host_level.select("host", "mean", (F.col("mean") - z * sd).alias("bound"))
@@ -110,7 +111,7 @@ def filter_urls(
     page is counted once per row of ``pages``; several outcomes of a page count as their least. Null outcomes
     and null ids are unlabelled. A null url, or one without ``://``, has an empty host and path, which is a host
     like any other. Input columns with the names of the result are replaced. Empty tables give empty ones; without
-    labels every host has the rate 1/2 of the flat prior.
+    labels every host has the rate 1/2 of the flat prior. The pages are read twice, for the counts and for the verdicts.
     """
     added = ("host", "path", "rule", "verdict", "bound")
     pages = without(pages, *added)
@@ -129,7 +130,7 @@ def filter_urls(
     )
     found = rule_for(F.col("host"), F.col("path"), rules)
     return (
-        judged.join(host_reputation(counts, z).select("host", "bound"), "host")
+        judged.join(host_reputation(stored(counts, "host_counts"), z).select("host", "bound"), "host")
         .withColumn("_rule", found)
         .select(
             *names, "host", "path",
