@@ -2,12 +2,15 @@
 
 The hash of a prefix is the sum of its code points times powers of a base, modulo a prime; differences of two prefix
 hashes answer any span. A fingerprint keeps the hashes of prefixes and suffixes at lengths that grow geometrically, so
-two fingerprints locate the longest common extensions from both ends by binary search.
+two fingerprints locate the longest common extensions from both ends by binary search. It also keeps the prefix hashes
+at cuts that the text itself chooses: their differences answer the spans between cuts wherever these stand, so that the
+texts meet again after each difference.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondeo.llm.hashing import mixed
+
 #: Two primes with a base each: a hash is a pair.
 MODULI = ((2**31 - 1, 1_103_515_245), (2**31 - 19, 1_566_083_941))
 #: Code points (21 bits) times powers (31 bits) of a row this long can be summed in 64 bits.
 _ROW = 1 << 11
 _ROWS_AT_ONCE = 1 << 9
 GROWTH = 1.19
+#: A cut stands before a window of this many code points whose hash ends in as many zero bits as leave at most MOST_CUTS.
+WINDOW = 8
+LEAST_ZEROS = 3
+MOST_CUTS = 128
+_SCAN = 1 << 20
+_WINDOW_BASE = 0x9E3779B97F4A7C15
 
 
 def _grid(limit: int = 2**40) -> np.ndarray:
@@ -125,24 +136,51 @@ class PrefixHashes:
         return low
 
 
+def cuts_of(codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The zero bits asked for, the cuts, and the zero bits of each; memory does not grow with the text."""
+    level, places, zeros = LEAST_ZEROS, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for start in range(1, len(codes) - WINDOW + 1, _SCAN):
+        part = codes[start : start + _SCAN + WINDOW - 1].astype(np.uint64)
+        n = len(part) - WINDOW + 1
+        total = np.zeros(n, dtype=np.uint64)
+        for j in range(WINDOW):
+            total = total * np.uint64(_WINDOW_BASE) + part[j : j + n]
+        total = mixed(total)
+        at = np.flatnonzero((total & np.uint64((1 << level) - 1)) == 0)
+        low = total[at] & (~total[at] + np.uint64(1))
+        bits = np.where(low > 0, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)), 64).astype(np.int64)
+        places, zeros = np.concatenate([places, at + start]), np.concatenate([zeros, bits])
+        if len(places) > MOST_CUTS:
+            level = int(np.sort(zeros)[-MOST_CUTS - 1]) + 1
+            places, zeros = places[zeros >= level], zeros[zeros >= level]
+    return level, places, zeros
+
+
 def fingerprint(codes: np.ndarray) -> str:
-    """Length, hash of the whole, then the hashes of prefixes and of suffixes at the grid's lengths, in hex."""
+    """Length, hash of the whole, the hashes of prefixes and of suffixes at the grid's lengths, then the cuts, in hex."""
     n = len(codes)
     grid = GRID[: np.searchsorted(GRID, n, side="right")]
-    points = np.concatenate([grid, n - grid, [n]])
+    level, cuts, zeros = cuts_of(codes)
+    points = np.concatenate([grid, n - grid, [n], cuts])
     order = np.unique(points)
     where = np.searchsorted(order, points)
-    whole, folded = [], np.zeros(2 * len(grid), dtype=np.uint64)
+    ends = 2 * len(grid)
+    whole, at_cuts, folded = [], None, np.zeros(ends, dtype=np.uint64)
     for w, (prime, _) in enumerate(MODULI):
         h = prefix_hashes(codes, order, w)[where]
-        prefix, before, full = h[: len(grid)], h[len(grid) : -1], h[-1]
+        prefix, before, full = h[: len(grid)], h[len(grid) : ends], h[ends]
         p = np.uint64(prime)
         suffix = (full + p - before) % p * _INVERSE[w].at(n - grid) % p
         whole.append(int(full))
         both = np.concatenate([prefix, suffix])
         folded ^= both if w == 0 else both * np.uint64(0x9E3779B1)
+        at_cuts = h[ends + 1 :] if w == 0 else at_cuts
     parts = folded.astype(np.uint32).astype(">u4")
-    return f"{n:x}.{whole[0]:08x}{whole[1]:08x}.{parts[: len(grid)].tobytes().hex()}.{parts[len(grid) :].tobytes().hex()}"
+    marks = cuts.astype(">u4").tobytes() + at_cuts.astype(">u4").tobytes() + zeros.astype(np.uint8).tobytes()
+    return (
+        f"{n:x}.{whole[0]:08x}{whole[1]:08x}.{parts[: len(grid)].tobytes().hex()}.{parts[len(grid) :].tobytes().hex()}"
+        f".{level:02x}{marks.hex()}"
+    )
 
 
 def _agreement(a: str, b: str) -> int:
@@ -157,13 +195,45 @@ def _agreement(a: str, b: str) -> int:
     return int(GRID[low - 1]) if low else 0
 
 
+def _spans(n: int, whole: str, cuts: str, level: int) -> list[tuple[int, int, int]]:
+    """(begin, end, hash) of the spans between the cuts of at least ``level`` zero bits and the ends of the text."""
+    raw = bytes.fromhex(cuts[2:])
+    k = len(raw) // 9
+    kept = np.frombuffer(raw, np.uint8, k, 8 * k) >= level
+    at = np.concatenate([[0], np.frombuffer(raw, ">u4", k).astype(np.int64)[kept], [n]]).astype(np.int64)
+    h = np.concatenate([[0], np.frombuffer(raw, ">u4", k, 4 * k).astype(np.int64)[kept], [int(whole[:8], 16)]])
+    p = np.uint64(MODULI[0][0])
+    spans = (h[1:].astype(np.uint64) + p - h[:-1].astype(np.uint64)) % p * _INVERSE[0].at(at[:-1]) % p
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), spans.tolist()))
+
+
+def _shared(own: list[tuple[int, int, int]], other: list[tuple[int, int, int]], low: int, high: int) -> int:
+    """Code points from ``low`` to ``high`` in spans that the other text has too, each of its spans taken once."""
+    left, total = Counter((end - begin, h) for begin, end, h in other), 0
+    for begin, end, h in own:
+        if left[end - begin, h] > 0:
+            left[end - begin, h] -= 1
+            total += max(0, min(end, high) - max(begin, low))
+    return total
+
+
 def likeness(a: str, b: str) -> float:
-    """The part of the longer text that the common prefix and the common suffix cover, from below; 1 for equal texts."""
+    """The part of the longer text that is covered, from below; 1 for equal texts only.
+
+    Covered are the common prefix, the common suffix, and between them the spans between cuts that both texts have,
+    also in another order. A difference costs about the two spans beside it, a thirtieth of the text or less on
+    average where the text has the 64 to 128 cuts of a long one.
+    """
     if a == b:
         return 1.0
-    (n, _, prefix, suffix), (m, _, other_prefix, other_suffix) = a.split("."), b.split(".")
+    (n, whole, prefix, suffix, cuts), (m, other_whole, other_prefix, other_suffix, other_cuts) = a.split("."), b.split(".")
     n, m = int(n, 16), int(m, 16)
-    return min(_agreement(prefix, other_prefix) + _agreement(suffix, other_suffix), n, m) / max(n, m, 1)
+    front = _agreement(prefix, other_prefix)
+    back = min(_agreement(suffix, other_suffix), min(n, m) - front)
+    level = max(int(cuts[:2], 16), int(other_cuts[:2], 16))
+    own, other = _spans(n, whole, cuts, level), _spans(m, other_whole, other_cuts, level)
+    between = min(_shared(own, other, front, n - back), _shared(other, own, front, m - back))
+    return min(front + back + between, max(n, m) - 1) / max(n, m)
 
 
 def edited(text: str, following: str) -> str:

@@ -114,6 +114,75 @@ def test_leaks_find_edited_copies_beside_exact_ones(spark):
     assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == expected
 
 
+def _likeness_by_brute_force(a, b):
+    """As :func:`fingerprints.likeness`, on the texts themselves."""
+    if a == b:
+        return 1.0
+    n, m = len(a), len(b)
+    grid = [0, *(int(g) for g in fingerprints.GRID if g <= min(n, m))]
+    front = max(g for g in grid if a[:g] == b[:g])
+    back = min(max(g for g in grid if a[n - g :] == b[m - g :]), min(n, m) - front)
+    chosen = [fingerprints.cuts_of(fingerprints.code_points(t)) for t in (a, b)]
+    level = max(c[0] for c in chosen)
+    spans = []
+    for t, (_, places, zeros) in zip((a, b), chosen):
+        at = [0, *places[zeros >= level].tolist(), len(t)]
+        spans.append(list(zip(at, at[1:])))
+    between = []
+    for t, own, u, other in ((a, spans[0], b, spans[1]), (b, spans[1], a, spans[0])):
+        left = Counter(u[x:y] for x, y in other)
+        found = []
+        for x, y in own:
+            if left[t[x:y]] > 0:
+                left[t[x:y]] -= 1
+                found.append(max(0, min(y, len(t) - back) - max(x, front)))
+        between.append(sum(found))
+    return min(front + back + min(between), max(n, m) - 1) / max(n, m)
+
+
+def test_likeness_by_brute_force():
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdeé\U0001f600", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = ["", "a", "ab", "x" * 5000, "xy" * 3000, "x" * 5001]
+    for size in (3, 30, 400, 3000):
+        w = rng.choices(vocabulary, k=size)
+        texts += [" ".join(w), " ".join(w[size // 2 :] + w[: size // 2])]
+        for _ in range(3):
+            v = list(w)
+            for j in rng.sample(range(size), min(size, 3)):
+                v[j] = rng.choice(["new", "", v[j] + " more"])
+            texts.append(" ".join(v))
+    marks = [fingerprints.fingerprint(fingerprints.code_points(t)) for t in texts]
+    for a, x in zip(texts, marks):
+        assert len(x.split(".")[4]) <= 2 + 18 * fingerprints.MOST_CUTS
+        for b, y in zip(texts, marks):
+            found = fingerprints.likeness(x, y)
+            assert found == _likeness_by_brute_force(a, b) == fingerprints.likeness(y, x)
+            assert (found == 1) == (a == b) and 0 <= found <= 1
+
+
+@pytest.mark.parametrize("places", [(0.05, 0.95), (0.3, 0.7), (0.2, 0.5, 0.8)])
+def test_copies_with_edits_far_apart_are_alike(places):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(900)]
+    found = []
+    for size in (400, 900, 4000) * 5:
+        w = rng.choices(vocabulary, k=size)
+        v = ["changed" if j in {int(p * size) for p in places} else x for j, x in enumerate(w)]
+        marks = [fingerprints.fingerprint(fingerprints.code_points(" ".join(t))) for t in (w, v, rng.choices(vocabulary, k=size))]
+        found.append(fingerprints.likeness(marks[0], marks[1]))
+        assert fingerprints.likeness(marks[0], marks[2]) < 0.1
+    assert min(found) > 0.82 and sum(found) / len(found) > 0.9
+
+
+def test_cuts_do_not_depend_on_blocks(monkeypatch):
+    codes = np.random.default_rng(6).integers(97, 110, 30_000).astype(np.uint32)
+    whole = fingerprints.cuts_of(codes)
+    monkeypatch.setattr(fingerprints, "_SCAN", 1000)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, fingerprints.cuts_of(codes)))
+    assert 40 < len(whole[1]) <= fingerprints.MOST_CUTS
+
+
 def _changed(rng, item, kind):
     """Copies of an item near the least score: every third word changed, words added between all, or edits at random."""
     if kind == 0:
