@@ -16,8 +16,8 @@ from sondeo.llm.common import stored
 LINKS_PER_TASK = 200_000
 
 
-def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task as links to the least node that each node reaches in them."""
+def _reached(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The nodes of a task's links, and for each the place of the least node that it reaches in them."""
     parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
     if parts:
         a, b = (np.concatenate(x) for x in zip(*parts))
@@ -34,6 +34,20 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = root[root]
             if np.array_equal(root, before):
                 break
+        return nodes, root
+    return None
+
+
+def _local_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if found := _reached(batches):
+        nodes, root = found
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "label"])
+
+
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as links to the least node that each node reaches in them."""
+    if found := _reached(batches):
+        nodes, root = found
         far = np.flatnonzero(root != np.arange(len(nodes)))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["node", "to"])
 
@@ -48,11 +62,12 @@ def components(links: DataFrame) -> DataFrame:
     Every task first contracts its own links; if they fit one task, that is all. Otherwise every round joins
     links with one minimum a node, so a hub meets in no single task but as one row.
     """
-    links = stored(links.select("a", "b").where("a <> b").distinct(), "links")
+    links = stored(links.select("a", "b").where("a <> b"), "links")
     tasks = -(-links.count() // LINKS_PER_TASK)
-    links, before = stored(links.repartition(max(1, tasks)).mapInArrow(_local_stars, "node long, to long").distinct(), "links"), None
     if tasks <= 1:
-        return _labelled(links)
+        return links.repartition(1).mapInArrow(_local_labels, "node long, label long")
+    contracted = links.distinct().repartition(tasks).mapInArrow(_local_stars, "node long, to long").distinct()
+    links, before = stored(contracted, "links"), None
     while True:
         both = links.unionByName(links.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = _least(both).select("node", F.least("node", "least").alias("least"))
