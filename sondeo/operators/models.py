@@ -120,6 +120,19 @@ def build_estimator(name: str, params: dict, rows: int, classes: int) -> Estimat
     return estimator if classes == 2 else OneVsRest(classifier=estimator, **columns)
 
 
+def fitted(estimator: Estimator, rows: DataFrame) -> Model:
+    """The fitted model without its training summary.
+
+    A two-class summary holds the session, and a session that has observed a query (:class:`Observation`) cannot be
+    sent to tasks: nothing could be scored with the model.
+    """
+    model = estimator.fit(rows)
+    for member in getattr(model, "models", [model]):
+        if getattr(member, "hasSummary", False):
+            member._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+    return model
+
+
 @dataclass
 class TrainingData:
     """Encoded and scaled rows with ``label``, ``features`` and ``fold``, on shared storage."""
@@ -202,7 +215,7 @@ def cross_validate(
 
     def one(fold: int) -> tuple[int, float, float]:
         train = data.rows.where(F.col("fold") != fold)
-        model = estimator.fit(train)
+        model = fitted(estimator, train)
         held_out = score(model, data.rows.where(F.col("fold") == fold), data)
         return fold, held_out, score(model, train, data) if with_training else None
 
@@ -264,7 +277,7 @@ def train(data: TrainingData, name: str, params: dict | None = None, parallelism
     held_out = [s for _, s, _ in folds if s is not None]
     mean = sum(held_out) / len(held_out) if held_out else math.nan
     spread = math.sqrt(sum((s - mean) ** 2 for s in held_out) / len(held_out)) if held_out else math.nan
-    model = build_estimator(name, merged, data.n, len(data.classes)).fit(data.rows)
+    model = fitted(build_estimator(name, merged, data.n, len(data.classes)), data.rows)
     frame = data.rows.sparkSession.createDataFrame(
         [(name, f, s, t) for f, s, t in folds], "model string, fold int, score double, train_score double"
     )

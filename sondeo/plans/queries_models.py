@@ -176,7 +176,7 @@ def _document_forest(spark, folder):
     """A forest with its defaults on all labelled documents, without folds."""
     data = _document_data(spark, folder)
     estimator = models.build_estimator("random_forest_clf", models.DEFAULTS["random_forest_clf"], data.n, len(data.classes))
-    return estimator.fit(data.rows), data
+    return models.fitted(estimator, data.rows), data
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sondeo.operators import gates, metrics, models
@@ -66,6 +67,17 @@ def test_one_vs_rest_probabilities_sum_to_one(three_classes):
     assert all(r["s"] == pytest.approx(1.0) for r in sums.collect())
 
 
+def test_two_class_models_score_after_an_observed_query(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("rows")).count()
+    df = spark.range(60).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 2).alias("y"))
+    data = models.prepare(df, "y", "id", models.CLASSIFICATION)
+    for name in ("logistic_regression", "random_forest_clf"):
+        estimator = models.build_estimator(name, models.DEFAULTS[name] | {"n_estimators": 2}, data.n, 2)
+        assert 0 <= models.score(models.fitted(estimator, data.rows), data.rows, data) <= 1
+    assert seen.get["rows"] == 5
+
+
 def test_names_resolve():
     assert models.resolve_name("random_forest", "regression") == "random_forest_reg"
     assert models.resolve_name("boosted", "classification") == "boosted_clf"
