@@ -32,6 +32,8 @@ SEED = 42
 # MLlib grows trees level by level and needs a bound; the cap for "unlimited" depth.
 DEEPEST = 12
 MLLIB_DEPTH = 30
+# Few bytes a row, but much work: a task of the training gets so many rows, not what fills a file.
+ROWS_PER_TASK = 8192
 LOG = logging.getLogger(__name__)
 
 # Default parameters per model.
@@ -177,7 +179,16 @@ def prepare(
         folded = assign_folds(scaled.withColumn("label", F.col("_target").cast("double")), key, None, FOLDS)
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(folded)
     rows = cut_lineage(assembled.select(key, *names, "features", "label", "fold"))
-    return TrainingData(rows, task, names, key, rows.count(), classes)
+    n = rows.count()
+    return TrainingData(_dealt_out(rows, n, key), task, names, key, n, classes)
+
+
+def _dealt_out(rows: DataFrame, n: int, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``rows`` written anew in equal parts where they lie in too few files to keep the executors busy."""
+    tasks = min(n // rows_per_task + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if rows.rdd.getNumPartitions() >= tasks:
+        return rows
+    return cut_lineage(rows.repartition(tasks).sortWithinPartitions(key, "label"))
 
 
 def with_scores(predicted: DataFrame) -> DataFrame:
@@ -212,15 +223,17 @@ def cross_validate(
 ) -> list[tuple[int, float | None, float | None]]:
     """(fold, held-out score, training score if asked for); folds are fitted by concurrent jobs."""
     estimator = build_estimator(name, params, data.n, len(data.classes))
+    with ThreadPool(parallelism) as pool:
+        return pool.map(lambda fold: _fold_scores(data, estimator, fold, with_training), range(FOLDS), 1)
 
-    def one(fold: int) -> tuple[int, float, float]:
-        train = data.rows.where(F.col("fold") != fold)
-        model = fitted(estimator, train)
-        held_out = score(model, data.rows.where(F.col("fold") == fold), data)
-        return fold, held_out, score(model, train, data) if with_training else None
 
-    with ThreadPool(parallelism) as pool:
-        return pool.map(one, range(FOLDS))
+def _fold_scores(
+    data: TrainingData, estimator: Estimator, fold: int, with_training: bool
+) -> tuple[int, float | None, float | None]:
+    train = data.rows.where(F.col("fold") != fold)
+    model = fitted(estimator, train)
+    held_out = score(model, data.rows.where(F.col("fold") == fold), data)
+    return fold, held_out, score(model, train, data) if with_training else None
 
 
 @dataclass
@@ -269,15 +282,22 @@ class TrainedModel:
         return frame.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def train(data: TrainingData, name: str, params: dict | None = None, parallelism: int = 2) -> TrainedModel:
-    """Cross-validate, then fit on all rows."""
+def train(data: TrainingData, name: str, params: dict | None = None, parallelism: int | None = None) -> TrainedModel:
+    """Cross-validate and fit on all rows, by concurrent jobs.
+
+    By default two fits at a time, as the driver holds the trees of each; boosting keeps few trees but waits for many
+    short jobs, so all its fits run together.
+    """
     name = resolve_name(name, data.task)
     merged = {**DEFAULTS[name], **(params or {})}
-    folds = cross_validate(data, name, merged, parallelism)
+    estimator = build_estimator(name, merged, data.n, len(data.classes))
+    with ThreadPool(parallelism or (FOLDS + 1 if name.startswith("boosted") else 2)) as pool:
+        whole = pool.apply_async(fitted, (estimator, data.rows))
+        folds = pool.map(lambda fold: _fold_scores(data, estimator, fold, True), range(FOLDS), 1)
+        model = whole.get()
     held_out = [s for _, s, _ in folds if s is not None]
     mean = sum(held_out) / len(held_out) if held_out else math.nan
     spread = math.sqrt(sum((s - mean) ** 2 for s in held_out) / len(held_out)) if held_out else math.nan
-    model = fitted(build_estimator(name, merged, data.n, len(data.classes)), data.rows)
     frame = data.rows.sparkSession.createDataFrame(
         [(name, f, s, t) for f, s, t in folds], "model string, fold int, score double, train_score double"
     )

@@ -78,6 +78,17 @@ def test_two_class_models_score_after_an_observed_query(spark):
     assert seen.get["rows"] == 5
 
 
+def test_training_rows_are_dealt_to_tasks_by_their_number(spark):
+    # Small in bytes, so the shuffles before leave one file; keys repeat and are missing.
+    df = spark.range(20_000).select(F.when(F.col("id") % 9 > 0, F.col("id") % 500).alias("id"), (F.col("id") % 7).alias("x"), (F.col("id") % 2).alias("y"))
+    data = models.prepare(df, "y", "id", models.CLASSIFICATION)
+    assert data.n == 20_000 and data.rows.rdd.getNumPartitions() == 3
+    counts = {(r["id"], r["label"]): r["count"] for r in data.rows.groupBy("id", "label").count().collect()}
+    assert counts == {(r["id"], float(r["y"])): r["count"] for r in df.groupBy("id", "y").count().collect()}
+    few = models.prepare(df.limit(100), "y", "id", models.CLASSIFICATION)
+    assert few.rows.rdd.getNumPartitions() == 1
+
+
 def test_names_resolve():
     assert models.resolve_name("random_forest", "regression") == "random_forest_reg"
     assert models.resolve_name("boosted", "classification") == "boosted_clf"
