@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 
 from sondeo.operators.features import MISSING_CATEGORY
 from sondeo.operators.ordering import ROWS_PER_SPAN, running_number
-from sondeo.workspace import cut_lineage, null_safe_join
+from sondeo.workspace import broadcast_if_small, cut_lineage, null_safe_join
 
 NEIGHBOURS = 3
 BLOCK = 4096
+# A span is sorted with both ends of each interval, three rows for one.
+SPAN_ROWS = ROWS_PER_SPAN // 4
+# A task that counts may hold one entry for each of its values.
+VALUES_PER_TASK = 1 << 20
 EULER = 0.5772156649015329
 
 
@@ -32,15 +36,21 @@ def digamma(n: Column) -> Column:
     return F.ln(x) - 1 / (2 * x) - series - lifted
 
 
-def _cuts(df: DataFrame, features: list[str], span_rows: int) -> dict[str, list[float]]:
-    """Approximate quantiles of each feature, so that a span between two holds about ``span_rows`` rows."""
-    spans = df.count() // span_rows + 1
+def _cuts(df: DataFrame, n: int, features: list[str], span_rows: int) -> dict[str, list[float]]:
+    """Approximate quantiles of each feature, so that a span between two holds about ``span_rows`` of the ``n`` rows."""
+    spans = n // span_rows + 1
     if spans == 1:
         return {f: [] for f in features}
     found = df.approxQuantile(features, [i / spans for i in range(1, spans)], 0.25 / spans)
     return {f: sorted(set(c)) for f, c in zip(features, found)}
 
 
+def _dealt_out(df: DataFrame, values: int, values_per_task: int = VALUES_PER_TASK) -> DataFrame:
+    """Rows in tasks of about ``values_per_task`` of their ``values``: files hold as many as compress well into them."""
+    tasks = values // values_per_task + 1
+    return df.repartition(tasks, F.monotonically_increasing_id()) if tasks > 1 else df
+
+
 def _span(cuts: dict[str, list[float]]):
     """How many cuts of the feature lie below a value; does not decrease along the feature."""
     if not any(cuts.values()):
@@ -110,7 +120,7 @@ def _counted_within(df: DataFrame, span) -> DataFrame:
 
 
 def neighbour_information(
-    df: DataFrame, features: list[str], target: str, k: int = NEIGHBOURS, span_rows: int = ROWS_PER_SPAN, block: int = BLOCK
+    df: DataFrame, features: list[str], target: str, k: int = NEIGHBOURS, span_rows: int = SPAN_ROWS, block: int = BLOCK
 ) -> DataFrame:
     """(feature, mi) in nats: nearest-neighbour mutual information of numeric features with a class.
 
@@ -125,13 +135,15 @@ def neighbour_information(
     spark = df.sparkSession
     label = F.coalesce(F.col(target).cast("string"), F.lit(MISSING_CATEGORY))
     filled = df.select(label.alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-    sizes = filled.groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = broadcast_if_small(filled.groupBy("label").agg(F.count("*").alias("size")).where("size > 1"))
     known = cut_lineage(filled.join(sizes, "label"))
-    cuts = _cuts(known, features, span_rows)
+    n = known.count()
+    cuts = _cuts(known, n, features, span_rows)
     span = _span(cuts)
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in features]))
     counts = (
-        known.select("label", "size", pairs.alias("_p"))
+        _dealt_out(known, n * len(features))
+        .select("label", "size", pairs.alias("_p"))
         .groupBy("_p.feature", "label", "_p.v")
         .agg(F.count("*").alias("n"), F.first("size").alias("size"))
         .withColumn("need", F.least(F.lit(k), F.col("size") - 1))

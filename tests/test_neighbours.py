@@ -73,3 +73,13 @@ def test_edges(spark):
     same = spark.createDataFrame([(1.0, float(i % 2), "ab"[i % 2]) for i in range(40)], schema)
     found = {r.feature: r.mi for r in neighbours.neighbour_information(same, ["v", "w"], "y").collect()}
     assert found["v"] == pytest.approx(0.0, abs=0.03) and found["w"] == pytest.approx(math.log(2), abs=0.03)
+
+
+def test_counting_tasks_hold_a_bounded_number_of_values(spark, monkeypatch):
+    df = spark.range(0, 3000, 1, 1).select("id", (F.col("id") / 7).alias("x"), F.lit(1.0).alias("one"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("y"))
+    monkeypatch.setattr(neighbours._dealt_out, "__defaults__", (1000,))
+    parts = neighbours._dealt_out(df, 6000).rdd.glom().map(len).collect()
+    assert len(parts) == 7 and sum(parts) == 3000 and max(parts) < 600
+    dealt = {r.feature: r.mi for r in neighbours.neighbour_information(df, ["x", "one"], "y").collect()}
+    monkeypatch.undo()
+    assert dealt == pytest.approx({r.feature: r.mi for r in neighbours.neighbour_information(df, ["x", "one"], "y").collect()}, abs=1e-9)
